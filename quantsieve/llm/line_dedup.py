@@ -16,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantsieve.llm._shared import SPACE, ascii_lower
+from quantsieve.llm._shared import ascii_lower, table
+
+
+#: The white space that a key loses at both ends.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, rf"\A{SPACE}+|{SPACE}+\z", ""))
+    return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
 def key_hash(key: Column) -> Column:
@@ -36,7 +40,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, *, doc_i
 
     # A document's own repeats are put together before anything is shuffled.
     keys = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_qs_id"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), long_key))).alias("_qs_key")).where("_qs_key is not null")
-    common = keys.distinct().groupBy("_qs_key").agg(F.count(F.lit(1)).alias("_qs_n"), F.max("_qs_id").alias("_qs_keeper")).where(F.col("_qs_n") >= min_docs)
+    keys = table(keys.distinct(), "line-keys")
+    # A table of its own, so that the join below has a shuffle on either side and a common line's rows can be split.
+    common = keys.groupBy("_qs_key").agg(F.count(F.lit(1)).alias("_qs_n"), F.max("_qs_id").alias("_qs_keeper")).where(F.col("_qs_n") >= min_docs)
+    common = table(common.select("_qs_key", "_qs_keeper"), "common-lines")
     goes = keys.join(common, "_qs_key").where("_qs_id <> _qs_keeper").groupBy("_qs_id").agg(F.collect_set("_qs_key").alias("_qs_goes"))
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.struct(line.alias("line"), F.when(F.col("_qs_goes").isNotNull(), long_key(line)).alias("key")))
     joined = docs.join(goes, F.col(doc_id) == F.col("_qs_id"), "left").withColumn("_qs_lines", lines)
