@@ -91,7 +91,7 @@ def rank_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, F.col("perf_1w"), False, 0.5)
 
 
-@register("percentrank_inc", f"SELECT _row_id, factor, v, CASE WHEN count(*) OVER (PARTITION BY factor) = 1 THEN CAST(1 AS DOUBLE) ELSE (rank() OVER (PARTITION BY factor ORDER BY v) - 1) / CAST(count(*) OVER (PARTITION BY factor) - 1 AS DOUBLE) END AS p FROM (" + " UNION ALL ".join(f"SELECT _row_id, '{f[0]}' AS factor, {f[1]} AS v FROM ({o.metrics()}) WHERE {f[1]} IS NOT NULL" for f in FACTORS[:6]) + ")")
+@register("percentrank_inc", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT _row_id, factor, v, CASE WHEN count(*) OVER (PARTITION BY factor) = 1 THEN CAST(1 AS DOUBLE) ELSE (rank() OVER (PARTITION BY factor ORDER BY v) - 1) / CAST(count(*) OVER (PARTITION BY factor) - 1 AS DOUBLE) END AS p FROM (" + " UNION ALL ".join(f"SELECT _row_id, '{f[0]}' AS factor, {f[1]} AS v FROM m WHERE {f[1]} IS NOT NULL" for f in FACTORS[:6]) + ")")
 def percentrank_inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for one large universe: value buckets."""
     long = ranking.unpivot(measured(spark, sf_dir), ["_row_id"], {f[0]: f[1] for f in FACTORS[:6]})
@@ -121,7 +121,7 @@ def scored_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCENARIOS = {name: {f: w * (2.0 if CATEGORY_OF[f] == name else 0.5) for f, w in default_config()["weights"].items()} for name in CATEGORIES}
 
 
-@register("overall_score_scenarios", " UNION ALL ".join(f"SELECT '{name}' AS scenario, _row_id, ticker, {o.overall(weights)} AS overall_score FROM ({o.scored()})" for name, weights in SCENARIOS.items()))
+@register("overall_score_scenarios", f"WITH sc AS MATERIALIZED ({o.scored()}) " + " UNION ALL ".join(f"SELECT '{name}' AS scenario, _row_id, ticker, {o.overall(weights)} AS overall_score FROM sc" for name, weights in SCENARIOS.items()))
 def overall_score_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(name, *[weights[f] for f in FACTOR_NAMES]) for name, weights in SCENARIOS.items()]
     sides = spark.createDataFrame(rows, "scenario string, " + ", ".join(f"{f} double" for f in FACTOR_NAMES))
@@ -132,7 +132,7 @@ def _weighted(c: str) -> str:
     return " + ".join(f"CAST({default_config()['weights'][f]} AS DOUBLE) * {f}" for f in FACTOR_NAMES if CATEGORY_OF[f] == c)
 
 
-@register("config_weight_check", " UNION ALL ".join(f"SELECT '{c}' AS category, CAST({sum(round(default_config()['weights'][f] * 10**6) for f in FACTOR_NAMES if CATEGORY_OF[f] == c) / 10**6} AS DOUBLE) AS total_weight, TRUE AS ok, min({_weighted(c)}) AS min_score, max({_weighted(c)}) AS max_score FROM ({o.scored()})" for c in CATEGORIES))
+@register("config_weight_check", f"WITH sc AS MATERIALIZED ({o.scored()}) " + " UNION ALL ".join(f"SELECT '{c}' AS category, CAST({sum(round(default_config()['weights'][f] * 10**6) for f in FACTOR_NAMES if CATEGORY_OF[f] == c) / 10**6} AS DOUBLE) AS total_weight, TRUE AS ok, min({_weighted(c)}) AS min_score, max({_weighted(c)}) AS max_score FROM sc" for c in CATEGORIES))
 def config_weight_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each category's total weight, and the least and largest weighted score that the universe reaches in it."""
     weights = default_config()["weights"]
@@ -227,12 +227,12 @@ def drill_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.card(scored(spark, sf_dir))
 
 
-@register("drill_chart_rows", f"SELECT * FROM ({o.facts(o.scored(), 'ticker')}) WHERE score IS NOT NULL")
+@register("drill_chart_rows", f"WITH sc AS MATERIALIZED ({o.scored()}) SELECT * FROM ({o.facts('SELECT * FROM sc', 'ticker')}) WHERE score IS NOT NULL")
 def drill_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.chart_rows(scored(spark, sf_dir))
 
 
-@register("drill_report", "SELECT ticker, category, factor_label, category_ordinal, factor_ordinal, coalesce('$' || format('{:,.0f}', round_even(market_cap, 0)), 'N/A') AS market_cap_text, CASE WHEN mscore IS NULL THEN 'N/A' ELSE printf('%.2f', round(mscore, 2)) END AS mscore_text, CASE WHEN score IS NULL THEN 'N/A' ELSE printf('%.3f', round(score, 3)) END AS score_text FROM (" + o.facts(o.scored(), "ticker, market_cap, mscore") + ")")
+@register("drill_report", f"WITH sc AS MATERIALIZED ({o.scored()}) " + "SELECT ticker, category, factor_label, category_ordinal, factor_ordinal, coalesce('$' || format('{:,.0f}', round_even(market_cap, 0)), 'N/A') AS market_cap_text, CASE WHEN mscore IS NULL THEN 'N/A' ELSE printf('%.2f', round(mscore, 2)) END AS mscore_text, CASE WHEN score IS NULL THEN 'N/A' ELSE printf('%.3f', round(score, 3)) END AS score_text FROM (" + o.facts("SELECT * FROM sc", "ticker, market_cap, mscore") + ")")
 def drill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.report(scored(spark, sf_dir))
 
@@ -307,7 +307,7 @@ def stage_raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- data quality --------------------------------------------------------------------------------------
 
 
-@register("quality_null_rates", f"SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS column_name, CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) AS null_rate FROM ({o.metrics()})''' for c in [*RAW_NUMBERS, *METRICS])}) WHERE null_rate > 0.1")
+@register("quality_null_rates", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS column_name, CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) AS null_rate FROM m''' for c in [*RAW_NUMBERS, *METRICS])}) WHERE null_rate > 0.1")
 def quality_null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.null_rates(measured(spark, sf_dir), columns=[*RAW_NUMBERS, *METRICS])
 
@@ -342,7 +342,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FENCED = ["market_cap", "revenues_ttm", "net_debt", "ps_diff", "mscore"]
 
 
-@register("quality_outliers", " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(low) AS low, min(high) AS high, count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM (SELECT {c}, a - CAST(3 AS DOUBLE) * (b - a) AS low, b + CAST(3 AS DOUBLE) * (b - a) AS high FROM ({o.metrics()}), (SELECT quantile_disc({c}, 0.25) AS a, quantile_disc({c}, 0.75) AS b FROM ({o.metrics()}))) WHERE {c} IS NOT NULL" for c in _FENCED))
+@register("quality_outliers", f"WITH m AS MATERIALIZED ({o.metrics()}) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(low) AS low, min(high) AS high, count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM (SELECT {c}, a - CAST(3 AS DOUBLE) * (b - a) AS low, b + CAST(3 AS DOUBLE) * (b - a) AS high FROM m, (SELECT quantile_disc({c}, 0.25) AS a, quantile_disc({c}, 0.75) AS b FROM m)) WHERE {c} IS NOT NULL" for c in _FENCED))
 def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(measured(spark, sf_dir), _FENCED)
 
@@ -424,7 +424,7 @@ def trend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.score_trend(scored_panel(spark, sf_dir))
 
 
-@register("trend_factors", " UNION ALL ".join(f"SELECT ticker, as_of, '{f}' AS factor, {f} AS score, {f} - lag({f}) {_W} AS change FROM ({_PANEL})" for f in FACTOR_NAMES[:4]))
+@register("trend_factors", f"WITH p AS MATERIALIZED ({_PANEL}) " + " UNION ALL ".join(f"SELECT ticker, as_of, '{f}' AS factor, {f} AS score, {f} - lag({f}) {_W} AS change FROM p" for f in FACTOR_NAMES[:4]))
 def trend_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.factor_trend(scored_panel(spark, sf_dir), FACTOR_NAMES[:4])
 
