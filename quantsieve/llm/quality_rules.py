@@ -108,7 +108,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         x, y = F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))
         return (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2
 
-    return F.sqrt(F.greatest(F.aggregate(F.zip_with(share(p), share(q), both), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    distance = F.sqrt(F.greatest(F.aggregate(F.zip_with(share(p), share(q), both), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    return F.when(F.exists(p, lambda x: x > 0) & F.exists(q, lambda x: x > 0), distance)
 
 
 def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, text: str = "text", lang: str = "lang") -> DataFrame:
