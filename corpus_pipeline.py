@@ -20,7 +20,7 @@ from quantsieve.llm._shared import table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.quality_filter(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

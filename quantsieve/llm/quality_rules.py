@@ -131,3 +131,14 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_dist
     )
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
     return joined.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def quality_filter(docs: DataFrame, **options) -> DataFrame:
+    """The documents that quality_rules keeps, with the columns of docs.
+
+    The row number holds the optimizer back from pushing the verdict below the columns it is made of, which
+    would write each of them out in full wherever it is used.
+    """
+    judged = quality_rules(docs.select(*docs.columns, F.struct(*docs.columns).alias("_doc")), **options)
+    judged = judged.select("_doc", F.col("kept").alias("_qs_kept"), F.monotonically_increasing_id().alias("_qs_row"))
+    return judged.where(F.col("_qs_kept") & (F.col("_qs_row") >= 0)).select("_doc.*")
