@@ -41,20 +41,25 @@ def template(text: Column) -> Column:
     return F.transform(found, token)
 
 
-def window_hashes(tokens: Column, width: int) -> Column:
-    """array<long>: the hash of the window of tokens that begins at each place."""
-    last = F.size(tokens) - width
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *[F.get(tokens, i + j)["t"] for j in range(width)]))
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x["t"]))
+
+
+def window_hashes(hashes: Column, width: int) -> Column:
+    """array<long>: the hash of the window that begins at each place, of the hashes of its tokens."""
+    last = F.size(hashes) - width
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *[F.get(hashes, i + j) for j in range(width)]))
     return F.when(last >= 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
 def item_windows(benchmark: DataFrame, width: int, min_words: int, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, width, hash and values of the windows to search for, each hash once for an item (its first place)."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), template(F.col(text)).alias("tokens")).where(F.size("tokens") >= min_words)
+    items = items.withColumn("hashes", token_hashes(F.col("tokens")))
     found = None
     for w in range(min_words, width + 1):
         of = items.where(F.size("tokens") >= width) if w == width else items.where(F.size("tokens") == w)
-        at = of.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"), w)).alias("pos", "hash"))
+        at = of.select("item_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), w)).alias("pos", "hash"))
         part = at.select("item_id", F.lit(w).alias("width"), "hash", "pos", F.slice("tokens", F.col("pos") + 1, F.lit(w)).alias("window"))
         found = part if found is None else found.union(part)
     told = F.size(F.filter("window", lambda x: ~x["t"].startswith("\x02")))
@@ -73,17 +78,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_word
     totals = small(table(wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows")), "items"))
     keys = small(table(wanted.select("hash").distinct(), "keys"))
 
-    def windows(tokens: Column) -> Column:
-        return F.concat(*[window_hashes(tokens, w) for w in widths]) if widths else F.array().cast("array<long>")
+    def windows(hashes: Column) -> Column:
+        return F.concat(*[window_hashes(hashes, w) for w in widths]) if widths else F.array().cast("array<long>")
 
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hashed = named.select("doc_id", template(F.col("text")).alias("tokens")).select("doc_id", F.explode(windows(F.col("tokens"))).alias("hash"))
+    hashed = named.select("doc_id", token_hashes(template(F.col("text"))).alias("hashes")).select("doc_id", F.explode(windows(F.col("hashes"))).alias("hash"))
     hit = small(table(hashed.join(keys, "hash", "left_semi").select("doc_id").distinct(), "hits"))
     # The few documents with any window are read again, now with the values that their placeholders stand for.
-    again = named.join(hit, "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("tokens"))
+    again = named.join(hit, "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("tokens")).withColumn("hashes", token_hashes(F.col("tokens")))
     parts = None
     for w in widths:
-        part = again.select("doc_id", "tokens", F.posexplode(window_hashes(F.col("tokens"), w)).alias("pos", "hash")).join(small(wanted), "hash").where(F.col("width") == w)
+        part = again.select("doc_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), w)).alias("pos", "hash")).join(small(wanted), "hash").where(F.col("width") == w)
         part = part.select("doc_id", "item_id", "hash", "item_values", F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["v"]).alias("values"), F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["t"]).alias("types"))
         parts = part if parts is None else parts.union(part)
     if parts is None:
