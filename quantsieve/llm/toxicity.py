@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 BITS = 18
 PREFIXES = (5, 7)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Steps of training at least, whatever the number of texts.
+MIN_STEPS = 400
 _CACHE_WORDS = 200_000
 _cache: dict[str, tuple[int, ...]] = {}
 
@@ -91,6 +93,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     m1, m2, step = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
     n_batches = max(1, -(-n_all // batch))
+    epochs = max(epochs, -(-MIN_STEPS // n_batches))
     for epoch in range(epochs):
         pos, unl = rng.permutation(n_pos), n_pos + rng.permutation(n_all - n_pos)
         for k in range(n_batches):
@@ -133,11 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, *, doc_id:
         return train([], [], 0.0)
     n_docs = docs.count()
     positives = known.where("toxic = 1").select("_qs_id", F.lit(1).alias("positive"))
-    drawn = lambda share: F.pmod(F.xxhash64(F.lit("toxicity"), F.col(doc_id)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
+    drawn = lambda share, c: F.pmod(F.xxhash64(F.lit("toxicity"), F.col(c).cast("long")), F.lit(10**9)) < int(10**9 * min(1.0, share))
     rows = docs.where(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id), F.col(text))
+    # The ids drawn number about max_train whatever the corpus holds, so they go to every executor and no text is shuffled.
+    picked = F.broadcast(positives.where(drawn(max_train / n_toxic, "_qs_id")))
+    p = rows.join(picked, F.col(doc_id) == F.col("_qs_id"))
     # Texts of unknown label include some that are toxic; that is what the prior is for.
-    p = rows.where(drawn(max_train / n_toxic)).join(positives, F.col(doc_id) == F.col("_qs_id"))
-    u = rows.where(drawn(max_train / max(1, n_docs))).join(positives, F.col(doc_id) == F.col("_qs_id"), "left_anti").select("*", F.lit(0).alias("positive"))
+    apart = F.broadcast(positives.where(drawn(max_train / max(1, n_docs), "_qs_id")))
+    u = rows.where(drawn(max_train / max(1, n_docs), doc_id)).join(apart, F.col(doc_id) == F.col("_qs_id"), "left_anti").select("*", F.lit(0).alias("positive"))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
