@@ -75,6 +75,8 @@ def train_classifier(features: DataFrame, labels: DataFrame, max_train: int = 20
     share = min(1.0, max_train / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("quality"), "_qs_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     rows = features.join(drawn, F.col(doc_id) == F.col("_qs_id")).select(doc_id, "x", "_qs_y").toPandas().sort_values([doc_id, "_qs_y"])
+    if not len(rows):
+        return fit_logistic(np.empty((0, 0)), np.empty(0))
     return fit_logistic(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), -1), rows["_qs_y"].to_numpy(np.float64))
 
 

@@ -107,3 +107,18 @@ def test_corruption_is_seen():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             list(token_files.unframe(io.BytesIO(bytes(bad))))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_are_encoded_as_the_whole(path, monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 400)  # so that generations turn over
+    enc = token_files.Encoder(path)
+    assert enc.local
+    rng = random.Random(5)
+    bits = [*"aZ é\n\t 1.,;!'s   \x1cΣßİﷺﬁ각̸́", "<|endoftext|>", "  ", "'ll ", " \n", "don't", "word ", "words, ", "x" * 60, "ẛ̣"]
+    texts = ["", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(4000))]
+    for at in range(0, len(texts), 250):
+        part = texts[at : at + 250]
+        whole = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert enc.encode(part) == whole
+        assert all("".join(token_files.pieces(t)) == t for t in part)
