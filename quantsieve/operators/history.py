@@ -14,7 +14,7 @@ def score_trend(panel: DataFrame, window: int = 3, as_of: str = "as_of", key: st
     """key, as_of, overall_score, previous_score, score_change, and mean_score over the last ``window`` snapshots."""
     w = Window.partitionBy(key).orderBy(as_of)
     before, last = F.lag("overall_score").over(w), w.rowsBetween(1 - window, 0)
-    return panel.select(key, as_of, "overall_score", before.alias("previous_score"), (F.col("overall_score") - before).alias("score_change"), (F.sum(F.col("overall_score").cast("decimal(28,16)")).over(last).cast("double") / F.count("overall_score").over(last)).alias("mean_score"))
+    return panel.select(key, as_of, "overall_score", before.alias("previous_score"), (F.col("overall_score") - before).alias("score_change"), (F.sum(F.col("overall_score").cast("decimal(28,12)")).over(last).cast("double") / F.count("overall_score").over(last)).alias("mean_score"))
 
 
 def factor_trend(panel: DataFrame, factors: Sequence[str] = FACTOR_NAMES, as_of: str = "as_of", key: str = "ticker") -> DataFrame:

@@ -419,7 +419,7 @@ _PANEL = o.panel("ticker, market_cap, revenues_ttm, overall_score, " + ", ".join
 _W = "OVER (PARTITION BY ticker ORDER BY as_of)"
 
 
-@register("trend_scores", f"SELECT ticker, as_of, overall_score, lag(overall_score) {_W} AS previous_score, overall_score - lag(overall_score) {_W} AS score_change, CAST(sum(CAST(overall_score AS DECIMAL(28,16))) OVER (PARTITION BY ticker ORDER BY as_of ROWS 2 PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY ticker ORDER BY as_of ROWS 2 PRECEDING) AS mean_score FROM ({_PANEL})")
+@register("trend_scores", f"SELECT ticker, as_of, overall_score, lag(overall_score) {_W} AS previous_score, overall_score - lag(overall_score) {_W} AS score_change, CAST(sum(CAST(overall_score AS DECIMAL(28,12))) OVER (PARTITION BY ticker ORDER BY as_of ROWS 2 PRECEDING) AS DOUBLE) / count(*) OVER (PARTITION BY ticker ORDER BY as_of ROWS 2 PRECEDING) AS mean_score FROM ({_PANEL})")
 def trend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.score_trend(scored_panel(spark, sf_dir))
 
