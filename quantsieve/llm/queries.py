@@ -73,7 +73,61 @@ FROM judged GROUP BY doc_id
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.quality_rules(docs).drop("text", "lang")
+    return quality_rules.quality_rules(docs).drop("text", "lang", "char_distance", "word_distance")
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_LISTS = " ".join(f"WHEN '{code}' THEN {_list(ws)}" for code, ws in quality_rules.COMMON_WORDS.items())
+ORACLES["op9_quality_rules"] = (
+    r"""
+WITH split AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         CASE lang """
+    + f"{_LISTS} ELSE {_list(quality_rules.ALL_COMMON)}"
+    + r""" END AS common FROM documents
+), windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split)
+), again AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), stripped AS (
+  SELECT *, array_to_string(ws, '') AS c0 FROM split
+), stripped1 AS (SELECT *, regexp_replace(c0, '\p{Ll}+', '', 'g') AS c1 FROM stripped
+), stripped2 AS (SELECT *, regexp_replace(c1, '\p{Lu}+', '', 'g') AS c2 FROM stripped1
+), stripped3 AS (SELECT *, regexp_replace(c2, '[0-9]+', '', 'g') AS c3 FROM stripped2
+), stripped4 AS (SELECT *, regexp_replace(c3, '[.,;:!?''"()\-]+', '', 'g') AS c4 FROM stripped3
+), stripped5 AS (SELECT *, regexp_replace(c4, '[#*$%&|<>]+', '', 'g') AS c5 FROM stripped4
+), counted AS (
+  SELECT *, [length(c0) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)] AS chars,
+         list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c))) AS found FROM stripped5
+), histograms AS (
+  SELECT doc_id, lang, 'chars' AS kind, unnest(range(1, 7)) AS pos, unnest(chars) AS v FROM counted
+  UNION ALL
+  SELECT doc_id, lang, 'words', unnest(range(0, len(found) + 1)), unnest(list_prepend((len(ws) - list_sum(found))::BIGINT, found)) FROM counted
+), refs AS (
+  SELECT lang, kind, pos, sum(v) AS v FROM histograms GROUP BY ALL
+), shares AS (
+  SELECT h.doc_id, h.kind, h.v / nullif(sum(h.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS p, r.v / nullif(sum(r.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS q
+  FROM histograms h JOIN refs r ON h.lang IS NOT DISTINCT FROM r.lang AND h.kind = r.kind AND h.pos = r.pos
+), distances AS (
+  SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS far FROM shares GROUP BY ALL
+), limits AS (
+  SELECT doc_id, coalesce(bool_or(far > CASE kind WHEN 'chars' THEN 0.3 ELSE 0.5 END), FALSE) AS far FROM distances GROUP BY doc_id
+), rules AS (
+  SELECT doc_id, len(ws) AS n_words, length(c0) AS word_chars, length(c4) - length(c5) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM counted LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept
+FROM rules JOIN limits USING (doc_id)
+"""
+)
 
 
 @query
@@ -86,6 +140,26 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_groups(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+ORACLES["op4_near_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM split
+), sizes AS (
+  SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON r = x
+)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.site_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))

@@ -136,7 +136,7 @@ def test_url_levels(spark):
     assert [tuple(r) for r in df.collect()] == [("a.com", "fr"), ("m.b.net", "en"), (None, None), ("", "")]
 
 
-SQL_TWINS = ["op1_chat_formatting", "op2_line_dedup"]
+SQL_TWINS = ["op1_chat_formatting", "op2_line_dedup", "op4_near_dedup", "op9_quality_rules"]
 
 
 @pytest.mark.parametrize("name", SQL_TWINS)
