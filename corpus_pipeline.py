@@ -15,30 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantsieve.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from quantsieve.llm._shared import table
+from quantsieve.llm._shared import table, with_code
 
 
+@with_code
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality_rules.quality_filter(docs)
 
 
+@with_code
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that repeat across them."""
     return line_dedup.line_dedup(docs, min_chars=40, min_docs=5).select(*docs.columns)
 
 
+@with_code
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8."""
     gone = near_dedup.similar_groups(docs, k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_qs_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_qs_gone"), "left_anti")
 
 
+@with_code
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@with_code
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantsieve.sources.shared import new_path
@@ -14,6 +19,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 20_000
 
 
+def with_code(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f(spark, ...), with this package on the path of Python workers on the same machine; a cluster ships it by --py-files."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
+        return f(spark, *args)
+
+    return run
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write df in the shared folder and read it again: later steps neither recompute it nor depend on lost executors."""
     spark = df.sparkSession

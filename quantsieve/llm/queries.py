@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, site_quality, token_files, toxicity
+from quantsieve.llm._shared import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__] = with_code(f)
     return f
 
 
