@@ -6,6 +6,10 @@ sums the histograms of all documents by language. ``quality_rules`` compares a d
 its language's by Jensen-Shannon distance (base 2, from 0 to 1) and rejects what stands too far off; no
 document of fewer than ``min_words`` words is judged by distance.
 
+A fixed ``max_word_distance`` of 0.5 is hardly ever exceeded: where a sixth of a language's words are common, a
+text without any stands 0.3 off. ``max_word_share`` sets the limit by language instead, as a share of the distance of
+such a text, and matches common words in lower case and without the punctuation around them.
+
 Defined results: a null text counts as empty, and fails the base rule (under 50 words); rows of a null or
 unlisted language are compared to their own kind like any other, over the common words of all listed
 languages; repeated rows are judged each; an empty table gives an empty table. Columns added replace
@@ -14,6 +18,8 @@ those of the same name; names that begin with ``_qs_`` are reserved.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,8 @@ from quantsieve.llm._shared import SPACE, small, table, words
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 CHAR_CLASSES = ("lower", "upper", "digit", "point", "symbol", "other")
 SYMBOLS = "#*$%&|<>"
+#: Stripped from both ends of a word before it is matched with max_word_share.
+PUNCTUATION = string.punctuation + "«»„“”‚‘’…¿¡–—"
 WINDOW = 3
 # The commonest function words of four languages.
 COMMON_WORDS = {
@@ -44,11 +52,15 @@ def _common_list(lang: Column) -> Column:
     return chosen
 
 
-def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the counts (long) and the histograms _qs_chars (by CHAR_CLASSES) and _qs_common (other words, then each common word), both array<long>."""
+def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", fold: bool = False) -> DataFrame:
+    """docs with the counts (long) and the histograms _qs_chars (by CHAR_CLASSES) and _qs_common (other words, then each common word), both array<long>.
+
+    fold: common words also count in upper case and next to punctuation.
+    """
     kept = [c for c in docs.columns if c not in COUNTS]
     whole = F.coalesce(F.col(text), F.lit(""))
     ws, n, at_least = F.col("_qs_words"), F.size("_qs_words"), F.lit(0)
+    matched = F.transform(ws, lambda w: F.trim(F.lower(w), F.lit(PUNCTUATION))) if fold else ws
     df = docs.select(*kept, words(whole).alias("_qs_words"))
     starts = F.sequence(at_least, F.greatest(n - WINDOW, at_least))
     df = df.withColumns(
@@ -56,7 +68,7 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang")
             "_qs_all": F.array_join(ws, ""),
             "_qs_lines": F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
             "_qs_hashes": F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
-            "_qs_found": F.filter(ws, lambda w: w.isin(ALL_COMMON)),
+            "_qs_found": F.filter(matched, lambda w: w.isin(ALL_COMMON)),
         }
     )
     # Equal windows stand together once sorted; texts that repeat none skip the sort.
@@ -112,15 +124,18 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when(F.exists(p, lambda x: x > 0) & F.exists(q, lambda x: x > 0), distance)
 
 
-def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, text: str = "text", lang: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, max_word_share: float | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with the counts of quality_features, char_distance and word_distance (null under min_words words), base_failed and kept.
 
     The references are a first pass over all documents, which leaves one row per language; they are
-    broadcast where few and joined by shuffle else. Documents are never shuffled for the former.
+    broadcast where few and joined by shuffle else. Documents are never shuffled for the former. With
+    max_word_share the limit of word_distance is that share of the distance of a text without common words from
+    the language's reference, and max_word_distance is not used.
     """
     added = ("char_distance", "word_distance", "base_failed", "kept")
-    features = quality_features(docs.drop(*added), text=text, lang=lang)
-    refs = small(table(language_references(features, lang), "references"))
+    features = quality_features(docs.drop(*added), text=text, lang=lang, fold=max_word_share is not None)
+    limit = F.lit(max_word_distance) if max_word_share is None else max_word_share * jensen_shannon(F.array(F.lit(1).cast("long")), F.col("_qs_ref_common"))
+    refs = small(table(language_references(features, lang).withColumn("_qs_limit", limit.cast("double")), "references"))
     judged = F.col("n_words") >= min_words
     joined = features.join(refs, F.col(lang).eqNullSafe(F.col("_qs_lang")), "left")
     joined = joined.select(
@@ -128,9 +143,10 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_dist
         F.when(judged, jensen_shannon(F.col("_qs_chars"), F.col("_qs_ref_chars"))).alias("char_distance"),
         F.when(judged, jensen_shannon(F.col("_qs_common"), F.col("_qs_ref_common"))).alias("word_distance"),
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))).alias("base_failed"),
+        "_qs_limit",
     )
-    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~far)
+    far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | F.coalesce(F.col("word_distance") > F.col("_qs_limit"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~far).drop("_qs_limit")
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:

@@ -84,3 +84,18 @@ def test_rules_null_language_and_empty(docs_of):
     assert quality_rules.quality_rules(docs).count() == 2
     assert quality_rules.quality_rules(docs_of([])).count() == 0
     assert "Python" not in quality_rules.quality_rules(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_share_rejects_texts_without_common_words(spark, docs_of):
+    """Words of the same letters throughout, so that only the common words tell the menu from the prose."""
+    pipeline = pytest.importorskip("corpus_pipeline", reason="the pipeline has been removed")
+    rest = lambda i, n: [f"thn{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}ou" for k in range(n)]
+    common = "the of and to in a is that".split()
+    prose = [" ".join(w if k % 4 else common[k // 4 % 8] for k, w in enumerate(rest(i, 80))) for i in range(20)]
+    folded = " ".join(w if k % 4 else f"{w.title()}," for k, w in enumerate(prose[0].split()))
+    docs = docs_of([*prose, folded, " ".join(rest(3, 80)), " ".join(rest(3, 30))])
+    got = {r["doc_id"] for r in pipeline.quality_stage(spark, docs, "").collect()}
+    assert got - {20} == set(range(20))
+    r = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, max_word_share=0.7).collect()}
+    assert r[20]["word_distance"] < 0.1 < r[21]["word_distance"] < 0.5 and r[22]["word_distance"] is None
+    assert "_qs_limit" not in quality_rules.quality_rules(docs).columns
