@@ -5,11 +5,15 @@ into typed placeholders, the rest into lower case without punctuation. Windows o
 joined to those of the benchmark, so a question that was given other numbers or names still matches. For
 each (document, item) the windows found are counted, and the placeholders' values are compared: an item's
 value must stand for one value in the document throughout (or for itself). Pairs with enough windows and
-consistent slots are contaminated.
+consistent slots are contaminated. Capitals in a stretch of upper case make no names.
 
-Defined results: null or empty texts match nothing; items of fewer than ``min_words`` words are not searched for,
-shorter ones than a window are searched whole; windows of which more than half is placeholders are not
-searched for; rows of a null document or item id are not reported; rows that repeat a document id count as
+Beside these stand plain windows, of the lower-cased words themselves: an item copied word for word is found
+whatever it is made of and however it is capitalised. A pair is contaminated too if enough of its plain
+windows are found.
+
+Defined results: null or empty texts match nothing; items of fewer than ``min_words`` words are searched for
+only with ``short_items``, whole and by plain words; longer ones, if shorter than a window, are searched whole; windows of which
+more than half is placeholders are searched for by plain words only; rows of a null document or item id are not reported; rows that repeat a document id count as
 one document; an empty table gives an empty table. Other columns are ignored.
 """
 
@@ -24,25 +28,30 @@ from quantsieve.llm._shared import small, table
 UNITS = "mm cm m km kg g mg lb lbs oz ml l inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros pound pounds degree degrees".split()
 NUMBER, UNIT, NAME = "\x02n", "\x02u", "\x02p"
 _FIRST = "\x01"
+#: Where a word in upper case begins that two words without lower-case letters follow, or that follows such a word.
+_SHOUTED = r"(?<![\p{L}\p{N}\x01])(?:(?=\p{Lu}[^\p{Ll}\s]*(?:\s+[^\p{Ll}\s]+){2}(?!\S))|(?<=\p{Lu}{2}[^\p{L}]{1,8})(?=\p{Lu}[^\p{Ll}\s]*(?!\S)))"
 
 
 def template(text: Column) -> Column:
     """array<struct<t,v>>: template token and the lower-cased word it stands for, of each word of a text."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\A\s*|[.!?:]\s+|\n\s*)", f" {_FIRST}")
+    marked = F.regexp_replace(marked, _SHOUTED, _FIRST)
     plain = F.regexp_replace(marked, r"[^\p{L}\p{N}\s\x01%]+", "")
     found = F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("", _FIRST))
+    # The lower-cased word is made once; in one lambda it would be made wherever it is used.
+    both = F.transform(found, lambda w: F.struct(w.alias("w"), F.lower(F.ltrim(w, F.lit(_FIRST))).alias("v")))
 
-    def token(w: Column) -> Column:
-        bare = F.lower(F.ltrim(w, F.lit(_FIRST)))
+    def token(x: Column) -> Column:
+        w, bare = x["w"], x["v"]
         capital = ~w.startswith(_FIRST) & (F.substr(w, F.lit(1), F.lit(1)) != F.substr(bare, F.lit(1), F.lit(1)))
         digit = bare.substr(1, 1).between("0", "9")
         return F.struct(F.when(digit, NUMBER).when(bare.isin(UNITS), UNIT).when(capital, NAME).otherwise(bare).alias("t"), bare.alias("v"))
 
-    return F.transform(found, token)
+    return F.transform(both, token)
 
 
-def token_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x["t"]))
+def token_hashes(tokens: Column, of: str = "t") -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x[of]))
 
 
 def window_hashes(hashes: Column, width: int) -> Column:
@@ -67,32 +76,52 @@ def item_windows(benchmark: DataFrame, width: int, min_words: int, *, item_id: s
     return found.groupBy("item_id", "width", "hash").agg(F.min_by(F.transform("window", lambda x: x["v"]), "pos").alias("item_values"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, min_windows: int = 6, min_share: float = 0.5, min_consistent: float = 0.5, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def plain_windows(benchmark: DataFrame, width: int, min_words: int, short_items: bool, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, width and hash of the windows of plain words, each hash once for an item; whole items where shorter than a window."""
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), template(F.col(text)).alias("tokens")).where(F.size("tokens") >= (1 if short_items else min_words))
+    items = items.select("item_id", F.size("tokens").alias("n"), token_hashes(F.col("tokens"), "v").alias("hashes"))
+    found = None
+    for w in range(1 if short_items else min_words, width + 1):
+        of = items.where(F.col("n") >= width) if w == width else items.where(F.col("n") == w)
+        part = of.select("item_id", F.lit(w).alias("width"), F.explode(window_hashes(F.col("hashes"), w)).alias("hash"))
+        found = part if found is None else found.union(part)
+    return found.distinct()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, min_windows: int = 6, min_share: float = 0.5, min_consistent: float = 0.5, *, short_items: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, n_windows (of the item, found), item_windows, n_slots, slot_consistency, verbatim.
 
     A pair counts if at least ``min_windows`` or ``min_share`` of the item's windows are found and at least
-    ``min_consistent`` of its slots are consistent. verbatim: every slot stands for itself.
+    ``min_consistent`` of its slots are consistent, or if as many of its plain windows are found: then, unless
+    the former holds as well, the row counts plain windows, has no slots and is verbatim. verbatim: every slot stands for itself.
     """
     wanted = table(item_windows(benchmark, width, min_words, item_id=item_id, text=item_text), "windows")
-    widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # width - min_words + 1 values at most
+    plain = table(plain_windows(benchmark, width, min_words, short_items, item_id=item_id, text=item_text), "plain")
+    widths = sorted(r[0] for r in wanted.select("width").union(plain.select("width")).distinct().collect())  # width values at most
+    plain_totals = small(table(plain.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows")), "plain_items"))
     totals = small(table(wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows")), "items"))
-    keys = small(table(wanted.select("hash").distinct(), "keys"))
+    keys = small(table(wanted.select("hash").union(plain.select("hash")).distinct(), "keys"))
 
-    def windows(hashes: Column) -> Column:
-        return F.concat(*[window_hashes(hashes, w) for w in widths]) if widths else F.array().cast("array<long>")
+    def windows(*hashes: Column) -> Column:
+        return F.array_distinct(F.concat(*[window_hashes(h, w) for h in hashes for w in widths])) if widths else F.array().cast("array<long>")
 
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hashed = named.select("doc_id", token_hashes(template(F.col("text"))).alias("hashes")).select("doc_id", F.explode(windows(F.col("hashes"))).alias("hash"))
+    tokens = named.select("doc_id", F.transform(template(F.col("text")), lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), F.xxhash64(x["v"]).alias("v"))).alias("h"))
+    hashed = tokens.select("doc_id", F.col("h.t").alias("t"), F.col("h.v").alias("v")).select("doc_id", F.explode(windows(F.col("t"), F.col("v"))).alias("hash"))
     hit = small(table(hashed.join(keys, "hash", "left_semi").select("doc_id").distinct(), "hits"))
     # The few documents with any window are read again, now with the values that their placeholders stand for.
-    again = named.join(hit, "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("tokens")).withColumn("hashes", token_hashes(F.col("tokens")))
-    parts = None
+    again = named.join(hit, "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("tokens"))
+    again = again.withColumns({"hashes": token_hashes(F.col("tokens")), "plain": token_hashes(F.col("tokens"), "v")})
+    parts = copies = None
     for w in widths:
         part = again.select("doc_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), w)).alias("pos", "hash")).join(small(wanted), "hash").where(F.col("width") == w)
         part = part.select("doc_id", "item_id", "hash", "item_values", F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["v"]).alias("values"), F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["t"]).alias("types"))
         parts = part if parts is None else parts.union(part)
+        copy = again.select("doc_id", F.explode(F.array_distinct(window_hashes(F.col("plain"), w))).alias("hash")).join(small(plain), "hash").where(F.col("width") == w).select("doc_id", "item_id", "hash")
+        copies = copy if copies is None else copies.union(copy)
     if parts is None:
         parts = named.sparkSession.createDataFrame([], "doc_id long, item_id long, hash long, item_values array<string>, values array<string>, types array<string>")
+        copies = parts.select("doc_id", "item_id", "hash")
     counts = parts.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows"))
     slot = F.explode_outer(F.filter(F.arrays_zip("types", "item_values", "values"), lambda x: x["types"].startswith("\x02")))
     slots = parts.select("doc_id", "item_id", slot.alias("s")).where("s is not null").groupBy("doc_id", "item_id", F.col("s.item_values").alias("item_value"))
@@ -101,7 +130,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_word
     found = counts.join(totals, "item_id").join(slots, ["doc_id", "item_id"], "left")
     enough = (F.col("n_windows") >= min_windows) | (F.col("n_windows") >= min_share * F.col("item_windows"))
     consistent = F.coalesce(F.col("slot_consistency"), F.lit(1.0))
-    return found.where(enough & (consistent >= min_consistent)).select("doc_id", "item_id", "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), consistent.alias("slot_consistency"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+    found = found.where(enough & (consistent >= min_consistent)).select("doc_id", "item_id", "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), consistent.alias("slot_consistency"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+    copied = copies.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows")).join(plain_totals, "item_id").where(enough)
+    copied = copied.select("doc_id", "item_id", "n_windows", "item_windows", F.lit(0).cast("long").alias("n_slots"), F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"))
+    # A pair found both ways keeps the row of the template windows.
+    columns = found.columns
+    both = found.withColumn("way", F.lit(0)).union(copied.withColumn("way", F.lit(1))).groupBy("doc_id", "item_id")
+    return both.agg(F.min(F.struct("way", *columns[2:])).alias("x")).select("doc_id", "item_id", *[f"x.{c}" for c in columns[2:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -37,6 +37,17 @@ def test_inconsistent_slots(spark, docs_of):
     assert decontaminate.contaminated(docs_of([changed.replace("7", "6").replace("8", "6").replace("9", "6")]), bench, min_consistent=0.9).count() == 1
 
 
+def test_verbatim_copies_of_any_kind(spark, docs_of):
+    """Items without a template window, copies in upper case, and items shorter than any window."""
+    sums, names = "Compute 12 + 7 = 19 , 3 x 4 = 12 , 9 - 5 = 4 , 8 / 2 = 4", "Name Anna Berta Clara Dora Emma Frida Greta Hanna Ida Julia"
+    bench = spark.createDataFrame([(1, ITEM), (2, sums), (3, names), (4, "Define osmosis briefly")], "item_id long, text string")
+    shouted = SAME.replace("x y.", "so far.").upper().replace("520", "555")
+    texts = [f"so. {sums} and on", f"so. {names} and on", f"so far it went. {ITEM.upper()}", shouted, "please define Osmosis, briefly.", "a clean document about osmosis", sums.replace("12", "31")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(texts), bench, short_items=True).collect()}
+    assert got == {(0, 2), (1, 3), (2, 1), (3, 1), (4, 4)}
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs_of(texts), bench).collect()} == {0, 1, 2, 3}
+
+
 def test_decontamination_of_empty_tables(spark, docs_of, bench):
     assert decontaminate.contaminated(docs_of([]), bench).count() == 0
     assert decontaminate.contaminated(docs_of([ITEM]), bench.limit(0)).count() == 0
