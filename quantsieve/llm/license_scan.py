@@ -2,7 +2,7 @@ r"""Licence detection by ordered signature rules.
 
 Hand-written families (a label, a name pattern, an SPDX pattern, versions, web addresses) are put through
 hand-written forms (SPDX tag, address, grant, name with version, name with the word licence, bare title),
-which gives some hundreds of regexes. Each has a keyword that must stand in the text before it is tried, a
+which gives some hundreds of regexes. Each has keywords of which one must stand in the text before it is tried, a
 priority by its form, and a confidence. Detections are taken in order of priority, length and place; one whose
 interval lies within an accepted one is suppressed.
 
@@ -30,12 +30,12 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 BASE_CONFIDENCE = 0.6
 _SEPARATORS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-# Label, keyword, name, SPDX id, web address (each but the first two a regex on lower-cased text).
+# Label, keywords (every match of the name holds one), name, SPDX id, web address (each but the first two a regex on lower-cased text).
 FAMILIES = [
     ("mit", "mit", r"(?:the )?mit", r"mit(?:-0)?", r"opensource\.org/licenses?/mit"),
     ("apache", "apache", r"(?:the )?apache(?: software)?", r"apache-[\d.]+", r"apache\.org/licenses"),
     ("gpl", "general public", r"(?:the )?(?:gnu )?general public", r"gpl-[\d.]+(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    ("lgpl", "lesser general public", r"(?:the )?(?:gnu )?(?:lesser|library) general public", r"lgpl-[\d.]+(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    ("lgpl", ("lesser general public", "library general public"), r"(?:the )?(?:gnu )?(?:lesser|library) general public", r"lgpl-[\d.]+(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("agpl", "affero", r"(?:the )?(?:gnu )?affero general public", r"agpl-[\d.]+(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl"),
     ("gfdl", "free documentation", r"(?:the )?(?:gnu )?free documentation", r"gfdl-[\d.]+(?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("bsd-2-clause", "bsd", r"(?:the )?(?:simplified|2-clause|two-clause|freebsd) bsd|bsd 2-clause", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
@@ -60,15 +60,15 @@ FAMILIES = [
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense\.org"),
     ("postgresql", "postgresql", r"(?:the )?postgresql", r"postgresql", r"postgresql\.org/about/licence"),
     ("ms-pl", "microsoft", r"(?:the )?microsoft (?:public|reciprocal)", r"ms-(?:pl|rl)", r"opensource\.org/licenses?/ms-"),
-    ("odbl", "open database", r"(?:the )?open (?:data commons )?(?:open )?database", r"odbl-[\d.]+", r"opendatacommons\.org/licenses/odbl"),
+    ("odbl", ("open database", "open data commons"), r"(?:the )?open (?:data commons )?(?:open )?database", r"odbl-[\d.]+", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "open data commons", r"(?:the )?open data commons attribution", r"odc-by-[\d.]+", r"opendatacommons\.org/licenses/by"),
-    ("cc0", "cc0", r"(?:the )?(?:creative commons )?(?:cc0|cc zero)(?: universal)?", r"cc0-[\d.]+", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-nc-nd", "nc", r"(?:cc[- ]by-nc-nd|creative commons attribution-?\s?noncommercial-?\s?noderiv\w+)", r"cc-by-nc-nd-[\d.]+", r"creativecommons\.org/licenses/by-nc-nd"),
-    ("cc-by-nc-sa", "nc", r"(?:cc[- ]by-nc-sa|creative commons attribution-?\s?noncommercial-?\s?sharealike)", r"cc-by-nc-sa-[\d.]+", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", "nc", r"(?:cc[- ]by-nc|creative commons attribution-?\s?noncommercial)", r"cc-by-nc-[\d.]+", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", "nd", r"(?:cc[- ]by-nd|creative commons attribution-?\s?noderiv\w+)", r"cc-by-nd-[\d.]+", r"creativecommons\.org/licenses/by-nd"),
-    ("cc-by-sa", "sa", r"(?:cc[- ]by-sa|creative commons attribution-?\s?sharealike)", r"cc-by-sa-[\d.]+", r"creativecommons\.org/licenses/by-sa"),
-    ("cc-by", "by", r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[\d.]+", r"creativecommons\.org/licenses/by/"),
+    ("cc0", ("cc0", "cc zero"), r"(?:the )?(?:creative commons )?(?:cc0|cc zero)(?: universal)?", r"cc0-[\d.]+", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by-nc-nd", ("by-nc-nd", "noncommercial"), r"(?:cc[- ]by-nc-nd|creative commons attribution-?\s?noncommercial-?\s?noderiv\w+)", r"cc-by-nc-nd-[\d.]+", r"creativecommons\.org/licenses/by-nc-nd"),
+    ("cc-by-nc-sa", ("by-nc-sa", "noncommercial"), r"(?:cc[- ]by-nc-sa|creative commons attribution-?\s?noncommercial-?\s?sharealike)", r"cc-by-nc-sa-[\d.]+", r"creativecommons\.org/licenses/by-nc-sa"),
+    ("cc-by-nc", ("by-nc", "noncommercial"), r"(?:cc[- ]by-nc|creative commons attribution-?\s?noncommercial)", r"cc-by-nc-[\d.]+", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", ("by-nd", "noderiv"), r"(?:cc[- ]by-nd|creative commons attribution-?\s?noderiv\w+)", r"cc-by-nd-[\d.]+", r"creativecommons\.org/licenses/by-nd"),
+    ("cc-by-sa", ("by-sa", "sharealike"), r"(?:cc[- ]by-sa|creative commons attribution-?\s?sharealike)", r"cc-by-sa-[\d.]+", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by", ("cc-by", "cc by", "creative commons attribution"), r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[\d.]+", r"creativecommons\.org/licenses/by/"),
     ("public-domain", "public domain", r"(?:the )?public domain", r"public-domain", r"creativecommons\.org/publicdomain/mark"),
     ("proprietary", "proprietary", r"(?:a |the )?proprietary", r"licenseref-proprietary", r"\S+/proprietary-license"),
 ]
@@ -87,7 +87,7 @@ FORMS = [
 
 
 #: Some of these stand in whatever a rule can match.
-_GATE = re.compile(r"licen[cs]|under\s|spdx-|http|www\.|\.\w+/|public domain", re.IGNORECASE)
+_GATE = re.compile(r"licen[cs]|under\s|spdx-|http|www\.|\.\w+/|public domain|wtfpl\.net", re.IGNORECASE)
 _LOWERED = str.maketrans(UPPER, LOWER)
 
 
@@ -97,7 +97,7 @@ class Rule:
     form: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
@@ -105,13 +105,13 @@ class Rule:
 def rules() -> tuple[Rule, ...]:
     """Every family in every form, by priority."""
     made = []
-    for label, keyword, name, spdx, address in FAMILIES:
+    for label, keywords, name, spdx, address in FAMILIES:
         for form, priority, confidence, kind, around in FORMS:
             if kind.startswith("only ") and kind != f"only {label}":
                 continue
             kind = "name" if kind.startswith("only ") else kind
             inner = {"name": name, "spdx": spdx, "address": address}[kind]
-            needed = {"name": keyword, "spdx": "spdx-", "address": re.sub(r"\\", "", re.match(r"(?:[\w-]|\\\.)*", address)[0])}[kind]
+            needed = {"name": (keywords,) if isinstance(keywords, str) else keywords, "spdx": ("spdx-",), "address": (re.sub(r"\\", "", re.match(r"(?:[\w-]|\\\.)*", address)[0]),)}[kind]
             made.append(Rule(label, form, priority, confidence, needed, re.compile(around.format(name=inner, word=_WORD, version=_VERSION))))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
@@ -128,7 +128,7 @@ def detect(text: str) -> list[Detection]:
     if not _GATE.search(text):
         return []
     lowered = text.translate(_LOWERED)
-    found = [Detection(m.start(), m.end(), r) for r in rules() if r.keyword in lowered for m in r.pattern.finditer(lowered)]
+    found = [Detection(m.start(), m.end(), r) for r in rules() if any(k in lowered for k in r.keywords) for m in r.pattern.finditer(lowered)]
     found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
     longest = max((d.end - d.start for d in found), default=0)
     accepted: list[tuple[int, int, int]] = []  # start, end, place in found: by start, so that only near ones are looked at

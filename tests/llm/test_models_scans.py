@@ -70,6 +70,50 @@ def test_licenses(docs_of):
     assert len(license_scan.rules()) > 200
 
 
+def examples(parsed):
+    """Texts that a parsed regex matches: every branch, optional parts with and without, repeats once."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            ways = [chr(arg)]
+        elif op == "BRANCH":
+            ways = [x for p in arg[1] for x in examples(p)]
+        elif op == "SUBPATTERN":
+            ways = examples(arg[-1])
+        elif op == "MAX_REPEAT":
+            ways = [*([""] if arg[0] == 0 else []), *examples(arg[2])]
+        elif op == "IN":
+            ways = [next(chr(x[1]) if str(x[0]) == "LITERAL" else chr(x[1][0]) if str(x[0]) == "RANGE" else {"CATEGORY_DIGIT": "1", "CATEGORY_SPACE": " ", "CATEGORY_WORD": "a", "CATEGORY_NOT_SPACE": "a"}[str(x[1])] for x in arg)]
+        else:
+            assert op == "AT", op
+            ways = [""]
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_gate_and_keywords_pass_what_the_rules_match():
+    inner = {"name": 2, "spdx": 3, "address": 4}
+    parse, tried = re._parser.parse, 0
+    for family in license_scan.FAMILIES:
+        for form, _, _, kind, around in license_scan.FORMS:
+            if kind.startswith("only ") and kind != f"only {family[0]}":
+                continue
+            rule = next(r for r in license_scan.rules() if (r.label, r.form) == (family[0], form))
+            for name in examples(parse(family[inner[kind.split()[0] if kind in inner else "name"]])):
+                for t in examples(parse(around.replace("{name}", "NAME").replace("{word}", "license").replace("{version}", "(?: 2)"))):
+                    t = t.replace("NAME", name)
+                    assert rule.pattern.search(t), (rule.label, rule.form, t)
+                    assert license_scan._GATE.search(t) and any(k in t for k in rule.keywords), (rule.label, rule.form, t)
+                    tried += 1
+    assert tried > 1000
+
+
+def test_alternative_names_are_found():
+    for text, label in [("the GNU Library General Public License", "lgpl"), ("License: Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"), ("License: Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"), ("License: Creative Commons Attribution 4.0", "cc-by"), ("licensed under CC Zero", "cc0"), ("see wtfpl.net", "wtfpl")]:
+        assert label in [d.rule.label for d in license_scan.detect(text)], text
+
+
 def test_contained_detections_are_suppressed():
     found = license_scan.detect("Licensed under the GNU Lesser General Public License, version 2.1")
     assert [(d.rule.label, d.rule.form) for d in found] == [("lgpl", "grant")]
