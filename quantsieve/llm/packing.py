@@ -19,32 +19,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantsieve.llm._shared import table
-from quantsieve.llm.token_files import encode
+from quantsieve.llm.encoding import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that are ranked together, about.
 RANK_ROWS = 100_000
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = 4096, *, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = 4096, *, with_ids: bool = False, special_strings: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids its ids (u32, little-endian)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, ids in zip(pdf["doc_id"], encode(list(pdf["text"]), tokenizer_path, end_id), strict=True):
-                data = memoryview(ids.astype("<u4", copy=False).tobytes())
-                for piece, at in enumerate(range(0, max(len(ids), 1), capacity)):
-                    part = data[4 * at : 4 * (at + capacity)]
-                    rows.append((key, piece, at, len(part) // 4, zlib.crc32(part)) + ((bytes(part),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECES + ", ids binary" * with_ids)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path, special_strings)
+        for batch in batches:
+            row = 0
+            for ids, counts in enc.encode(batch.column("text")):
+                ids, counts = with_end(ids, counts, end_id)
+                pieces = np.maximum(-(-counts // capacity), 1)
+                of = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(counts[of] - start, capacity)
+                lo = ((np.cumsum(counts) - counts)[of] + start) * 4
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                parts = [data[a:b] for a, b in zip(lo.tolist(), (lo + length * 4).tolist())]
+                out = {"doc_id": batch.column("doc_id").take(pa.array(row + of)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": pa.array(map(zlib.crc32, parts), pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(map(bytes, parts), pa.binary())} if with_ids else {}))
+                row += len(counts)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
@@ -124,9 +132,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.mapInPandas(take, ", ".join(f"`{c}` {types[c]}" for c in names) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = 4096, *, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, capacity: int = 4096, *, with_ids: bool = False, special_strings: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of docs with the sequences and offsets they are packed at."""
-    return pack(table(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids=with_ids, doc_id=doc_id, text=text), "pieces"), capacity)
+    return pack(table(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids=with_ids, special_strings=special_strings, doc_id=doc_id, text=text), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

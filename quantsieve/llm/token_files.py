@@ -1,8 +1,8 @@
 r"""Token-id output as length-delimited binary records with a separate offset index.
 
 A data file is a run of records: length (u64, little-endian), masked CRC-32 of the length's 8 bytes (u32), the
-sequence, masked CRC-32 of the sequence (u32). A sequence is token ids as u16 or, for vocabularies over
-65,536, u32, little-endian. The mask is that of common record formats: rotate right by 15 bits, add
+sequence, masked CRC-32 of the sequence (u32). A sequence is token ids as u16 or, where the vocabulary or the end id
+goes beyond 65,535, u32, little-endian. The mask is that of common record formats: rotate right by 15 bits, add
 0xa282ead8. An index file holds, for each record of its data file, three i64: document id, byte offset of the record,
 number of ids; so that readers may take records in any order.
 
@@ -17,9 +17,6 @@ id -2**63; rows with the same id are ordered by text; an empty table gives no fi
 
 from __future__ import annotations
 
-import json
-import os
-import re
 import struct
 import uuid
 import zlib
@@ -27,130 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantsieve.llm._shared import table
+from quantsieve.llm.encoding import encoder, with_end
 from quantsieve.sources.shared import new_path
 
 MANIFEST = "part int, data string, index string, n_records long, n_ids long, width int"
 NULL_ID = -(2**63)
-#: Pieces whose ids a worker remembers, about, and the longest piece that it does.
-CACHE_PIECES, CACHE_CHARS = 1_500_000, 40
-_BATCH_CHARS = 2_000_000
-_tokenizers: dict[str, Encoder] = {}
-# Texts may be cut where no token can cross, whatever stands on either side: before a lone space between words,
-# round a lone line end, and where a letter meets a full stop or its like.
-_UNEVEN = re.compile(r"[^\S \n]|\A\s|\s\s|\s\Z")
-_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\s.,;:!?]|\Z)| ?\S+|\n")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_SPACE = re.compile(r"\s")
-_BEYOND_LATIN = re.compile(r"[^\x00-\xff]")
-
-
-def pieces(text: str) -> list[str]:
-    """Parts that join to the text, and whose tokens join to its tokens."""
-    return _CUT.split(text) if _UNEVEN.search(text) else _PIECE.findall(text)
-
-
-class Encoder:
-    """Ids of texts by the tokenizers library, which is asked about each piece once while it is remembered."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        config = json.loads(self.tokenizer.to_str())
-        before = config.get("pre_tokenizer") or {}
-        steps = before.get("pretokenizers", [before])
-        #: Whether the cuts of pieces() hold: byte-level tokens after a split by letters and spaces.
-        self.local = config["model"]["type"] == "BPE" and any(s.get("type") == "ByteLevel" for s in steps) and all(s.get("type") in ("ByteLevel", "Split") and not s.get("add_prefix_space") for s in steps) and (steps[0].get("type") == "Split" or steps[0].get("use_regex", True))
-        #: Whether white space leaves no tokens.
-        self.drops_space = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed"
-        rules = config.get("normalizer") or {}
-        #: Whether the tokenizer lower-cases, so that pieces may be looked up in lower case.
-        self.lower = any(r.get("type") == "Lowercase" for r in rules.get("normalizers", [rules]))
-        # Two generations: what a full one held is still at hand until the next is full.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, need: list[str]) -> None:
-        """Ids of pieces not known yet. Words are encoded as running text and told apart by their places in it.
-
-        A piece that doesn't begin with its space is put on a line of its own, whose line end is one id that is left out.
-        """
-        spaced, bare, other = [], [], []
-        for p in need:
-            inside = len(p) > CACHE_CHARS or _SPACE.search(p, 1)
-            (other if inside or p[0] == "\n" else spaced if p[0] == " " else bare).append(p)
-        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        for found, lead, skip in ((spaced, "", 0), (bare, " " if self.drops_space else "\n", 0 if self.drops_space else 4)):
-            for at in range(0, len(found), 4096):
-                group = found[at : at + 4096]
-                texts = ["x", *(lead + p for p in group)]
-                e = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-                starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-                cuts = (np.searchsorted(starts, np.cumsum([len(t) for t in texts])) * 4).tolist()
-                ids = np.array(e.ids, "<u4").tobytes()
-                self.known.update(zip(group, [ids[lo + skip : hi] for lo, hi in zip(cuts, cuts[1:])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as u32, little-endian."""
-        if not self.local:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # Within Latin-1, lower case is the same thing to all, and nothing is composed.
-        parts = [pieces(t.lower() if self.lower and not _BEYOND_LATIN.search(t) else t) for t in texts]
-        wanted = set().union(*parts)
-        wanted.discard("")
-        need = []
-        for p in wanted - self.known.keys():
-            if (ids := self.older.get(p)) is None:
-                need.append(p)
-            else:
-                self.known[p] = ids
-        self._learn(need)
-        self.known[""] = b""
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for p in need:
-            if len(p) > CACHE_CHARS:
-                del self.known[p]
-        if len(self.known) > CACHE_PIECES // 2:
-            self.older, self.known = self.known, {}
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer's file, loaded once in a worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = Encoder(path)
-    return _tokenizers[path]
-
-
-def encode(texts: list[str | None], path: str, end_id: int | None) -> Iterator[np.ndarray]:
-    """The ids (u32) of each text, end_id appended; encoded in batches of bounded size."""
-    enc, tail = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    at = 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars < _BATCH_CHARS):
-            chars += len(texts[to] or "")
-            to += 1
-        for ids in enc.encode([t or "" for t in texts[at:to]]):
-            yield np.frombuffer(ids + tail, "<u4")
-        at = to
-
-
-def masked_crc(data: bytes) -> int:
+
+def masked_crc(data: bytes | memoryview) -> int:
     c = zlib.crc32(data)
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(sequence: bytes) -> bytes:
+def frame(sequence: bytes | memoryview) -> bytes:
     head = struct.pack("<Q", len(sequence))
     return b"".join((head, struct.pack("<I", masked_crc(head)), sequence, struct.pack("<I", masked_crc(sequence))))
 
@@ -177,34 +68,46 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, *, folder: str | None = None, wide: bool = False, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write docs in ascending order of id; the manifest: one row per file, in order of ``part``."""
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, *, folder: str | None = None, wide: bool | None = None, special_strings: bool = True, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write docs in ascending order of id; the manifest: one row per file, in order of ``part``.
+
+    wide: whether ids are u32; by the vocabulary if not given. Too large an id for u16 is an error.
+    """
     spark = docs.sparkSession
-    folder, width = _uri(folder or new_path(spark, "tokens")), 4 if wide else 2
+    folder = _uri(folder or new_path(spark, "tokens"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     keys = (F.col("doc_id"), F.xxhash64("text"))
     rows = (rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)).sortWithinPartitions("doc_id", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        enc = encoder(tokenizer_path, special_strings)
+        fits = max(enc.largest, end_id) <= 0xFFFF
+        if wide is False and not fits:
+            raise ValueError("ids of this vocabulary need 32 bits")
+        width = 2 if fits and not wide else 4
         out, index, at, total = None, [], 0, 0
-        for pdf in batches:
-            for key, ids in zip(pdf["doc_id"], encode(list(pdf["text"]), tokenizer_path, end_id), strict=True):
+        for batch in batches:
+            keys, row = batch.column("doc_id").to_pylist(), 0
+            for ids, counts in enc.encode(batch.column("text")):
                 if out is None:
                     fs, top = _open(folder)
                     fs.create_dir(top, recursive=True)
                     out = fs.open_output_stream(f"{top}/{name}.bin")
-                out.write(record := frame(ids.astype(f"<u{width}", copy=False).tobytes()))
-                index.append((key, at, len(ids)))
-                at, total = at + len(record), total + len(ids)
+                ids, counts = with_end(ids, counts, end_id)
+                data, lo = memoryview(ids.astype(f"<u{width}", copy=False)).cast("B"), 0
+                for n in counts.tolist():
+                    out.write(record := frame(data[lo : lo + n * width]))
+                    index.append((keys[row], at, n))
+                    at, total, lo, row = at + len(record), total + n, lo + n * width, row + 1
         if out is None:
             return
         out.close()
         with fs.open_output_stream(f"{top}/{name}.idx") as f:
             f.write(np.array(index, "<i8").tobytes())
-        yield pd.DataFrame([(part, f"{folder}/{name}.bin", f"{folder}/{name}.idx", len(index), total, width)], columns=["part", "data", "index", "n_records", "n_ids", "width"])
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [f"{folder}/{name}.bin"], "index": [f"{folder}/{name}.idx"], "n_records": [len(index)], "n_ids": [total], "width": pa.array([width], pa.int32())})
 
-    return table(rows.mapInPandas(write, MANIFEST), "manifest")
+    return table(rows.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_index(manifest: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-from quantsieve.llm import packing, token_files
+from quantsieve.llm import encoding, packing, token_files
 from tests.llm.conftest import ODD
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -48,7 +49,6 @@ def test_plan_is_whole_and_tight(seed):
 
 def test_pack_documents(docs_of):
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     texts = [*ODD, "<|endoftext|> is text", *[f"short text {i % 5}" for i in range(40)]]
     ids = [*range(len(texts) - 2), 3, None]
     rows = packing.pack_documents(docs_of(texts, ids, rank=7, length="x"), WORD, with_ids=True).collect()
@@ -78,10 +78,9 @@ def test_sequences(docs_of):
         packing.pack(packed.drop("ids"), capacity=1)
 
 
-@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("wide", [None, False, True])
 def test_token_files(docs_of, wide):
     tok = Tokenizer.from_file(BYTE)
-    tok.encode_special_tokens = True
     texts = [*ODD, "<|endoftext|>", "é≠\U0001f600"]
     ids = [5, 3, 9, 1, 7, 2, 2, None, 100]
     manifest = token_files.write_token_files(docs_of(texts, ids, part=1), BYTE, 0, wide=wide, files=3)
@@ -109,16 +108,49 @@ def test_corruption_is_seen():
             list(token_files.unframe(io.BytesIO(bytes(bad))))
 
 
+def split_ids(enc, texts):
+    out = []
+    for ids, counts in enc.encode(pa.array(texts, pa.string())):
+        assert len(ids) == counts.sum()
+        out += [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
+
+
+SPACES = [chr(c) for c in range(0x3100) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff", "\x7f"]
+
+
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_pieces_are_encoded_as_the_whole(path, monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE_PIECES", 400)  # so that generations turn over
-    enc = token_files.Encoder(path)
+def test_texts_are_encoded_as_by_the_library(path, special, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 400)  # so that generations turn over
+    monkeypatch.setattr(encoding, "BATCH_BYTES", 3_000)
+    enc, tok = encoding.Encoder(path, special), Tokenizer.from_file(path)
+    if not special:
+        tok.encode_special_tokens = True
     assert enc.local
     rng = random.Random(5)
-    bits = [*"aZ é\n\t 1.,;!'s   \x1cΣßİﷺﬁ각̸́", "<|endoftext|>", "  ", "'ll ", " \n", "don't", "word ", "words, ", "x" * 60, "ẛ̣"]
+    bits = [*"aZ é\n\t 1.,;!'s\u00a0\u2003\x1cΣßİﷺﬁ각̸́H̱×Å", "<|endoftext|>", "  ", "'ll ", " \n", "don't", "word ", "words, ", "x" * 60, "ẛ̣"]
     texts = ["", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(4000))]
-    for at in range(0, len(texts), 250):
-        part = texts[at : at + 250]
-        whole = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
-        assert enc.encode(part) == whole
-        assert all("".join(token_files.pieces(t)) == t for t in part)
+    for w in SPACES:
+        texts += [w, f"a{w}", f"{w}a", f"a{w}b", f" {w}b", f"{w}{w}b", f"a\n{w}b", f"a {w}", f"é{w}É", f"{w}\n", f"\n\n{w} x"]
+    texts += [f"{a}<|endoftext|>{b}" for a in ("", "a", " ", "A\n") for b in ("", "b", " ", "\nB")] + ["<|startoftext|>", "<|endoftext|", "THE <|ENDOFTEXT|> A"]
+    rng.shuffle(texts)
+    assert split_ids(enc, texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert split_ids(enc, [None]) == [[]] and split_ids(enc, []) == []
+
+
+def test_other_tokenizers_get_texts_whole(tmp_path):
+    tok = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2, " ": 3}, [("a", "b")]))
+    tok.save(path := str(tmp_path / "own.json"))
+    enc = encoding.Encoder(path)
+    assert not enc.local and split_ids(enc, ["ab ab", None, "b"]) == [[2, 3, 2], [], [1]]
+
+
+def test_width_of_ids_is_checked(docs_of, tmp_path):
+    tok = Tokenizer(models.BPE({chr(0x10000 + i): i for i in range(70_000)}, []))
+    tok.save(path := str(tmp_path / "large.json"))
+    text = "".join(chr(0x10000 + i) for i in (3, 66_000))
+    manifest = token_files.write_token_files(docs_of([text]), path, 0)
+    assert [r["ids"] for r in token_files.read_shuffled(manifest, 1).collect()] == [[3, 66_000, 0]]
+    with pytest.raises(Exception, match="32 bits"):
+        token_files.write_token_files(docs_of([text]), path, 0, wide=False).count()
