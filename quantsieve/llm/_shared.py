@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows of a lookup table that is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: The same for tables of one 8-byte column: about 16 MB with their hash table.
+KEY_ROWS = 500_000
 
 
 def with_code(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -39,9 +41,9 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; df must be cheap to count (a table)."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; df must be cheap to count (a table)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def ascii_lower(c: Column) -> Column:

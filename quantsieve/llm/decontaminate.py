@@ -1,20 +1,24 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units and names (capitalised words that don't begin a sentence) turn
-into typed placeholders, the rest into lower case without punctuation. Windows of template tokens are hashed and
-joined to those of the benchmark, so a question that was given other numbers or names still matches. For
-each (document, item) the windows found are counted, and the placeholders' values are compared: an item's
-value must stand for one value in the document throughout (or for itself). Pairs with enough windows and
-consistent slots are contaminated. Capitals in a stretch of upper case make no names.
+Words become template tokens: numbers, units and names (a capital with a lower-case letter after it, not at the
+beginning of a sentence) turn into typed placeholders, the rest into lower case without punctuation. Windows of
+template tokens are hashed and joined to those of the benchmark, so a question that was given other numbers or names
+still matches. For each (document, item) the windows found are counted, and the placeholders' values are compared: an
+item's value must stand for one value in the document throughout (or for itself). Pairs with enough windows and
+consistent slots are contaminated. Words all in capitals are no names.
 
 Beside these stand plain windows, of the lower-cased words themselves: an item copied word for word is found
 whatever it is made of and however it is capitalised. A pair is contaminated too if enough of its plain
 windows are found.
 
+Documents are first searched for anchors: from each window of the benchmark that run of four tokens (the whole
+window if shorter) that holds the fewest placeholders. What holds none of them holds no window; the others are
+read again and compared window by window.
+
 Defined results: null or empty texts match nothing; items of fewer than ``min_words`` words are searched for
 only with ``short_items``, whole and by plain words; longer ones, if shorter than a window, are searched whole; windows of which
 more than half is placeholders are searched for by plain words only; rows of a null document or item id are not reported; rows that repeat a document id count as
-one document; an empty table gives an empty table. Other columns are ignored.
+one document; an empty table gives an empty table. Other columns are ignored; a U+0003 at the beginning of a word makes it a name.
 """
 
 from __future__ import annotations
@@ -22,70 +26,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantsieve.llm._shared import small, table
+from quantsieve.llm._shared import KEY_ROWS, small, table
 
 # Words that name a unit.
 UNITS = "mm cm m km kg g mg lb lbs oz ml l inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros pound pounds degree degrees".split()
 NUMBER, UNIT, NAME = "\x02n", "\x02u", "\x02p"
-_FIRST = "\x01"
-#: Where a word in upper case begins that two words without lower-case letters follow, or that follows such a word.
-_SHOUTED = r"(?<![\p{L}\p{N}\x01])(?:(?=\p{Lu}[^\p{Ll}\s]*(?:\s+[^\p{Ll}\s]+){2}(?!\S))|(?<=\p{Lu}{2}[^\p{L}]{1,8})(?=\p{Lu}[^\p{Ll}\s]*(?!\S)))"
+#: Tokens in an anchor.
+ANCHOR = 4
+_MARK = "\x03"
+#: What stands before a name: spaces after a word that doesn't end a sentence, and opening punctuation.
+_BEFORE_NAME = r"[ \t](?<=[^\s.!?:][ \t])[ \t]*+[^\p{L}\p{N}\s%]*+(?=[\p{Lu}\p{Lt}]\p{Ll})"
+_PUNCTUATION = r"[^\p{L}\p{N}\s\x03%]+"
+
+
+def marked_words(text: Column) -> Column:
+    """array<string>: the lower-cased words of a text without punctuation, names behind a mark."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _BEFORE_NAME, f"$0{_MARK}")
+    plain = F.lower(F.regexp_replace(marked, _PUNCTUATION, ""))
+    for space in "\t\n\x0b\x0c\r":  # splitting at one plain character is much cheaper than at a pattern
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _token(w: Column) -> Column:
+    # After a mark (below any letter, digit or %), names; from "0" to below ":", numbers.
+    return F.when(w < "\x04", NAME).when((w >= "0") & (w < ":"), NUMBER).when(w.isin(UNITS), UNIT).otherwise(w)
+
+
+def _value(w: Column) -> Column:
+    return F.when(w < "\x04", F.substr(w, F.lit(2))).otherwise(w)
 
 
 def template(text: Column) -> Column:
     """array<struct<t,v>>: template token and the lower-cased word it stands for, of each word of a text."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\A\s*|[.!?:]\s+|\n\s*)", f" {_FIRST}")
-    marked = F.regexp_replace(marked, _SHOUTED, _FIRST)
-    plain = F.regexp_replace(marked, r"[^\p{L}\p{N}\s\x01%]+", "")
-    found = F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("", _FIRST))
-    # The lower-cased word is made once; in one lambda it would be made wherever it is used.
-    both = F.transform(found, lambda w: F.struct(w.alias("w"), F.lower(F.ltrim(w, F.lit(_FIRST))).alias("v")))
+    return F.transform(marked_words(text), lambda w: F.struct(_token(w).alias("t"), _value(w).alias("v")))
 
-    def token(x: Column) -> Column:
-        w, bare = x["w"], x["v"]
-        capital = ~w.startswith(_FIRST) & (F.substr(w, F.lit(1), F.lit(1)) != F.substr(bare, F.lit(1), F.lit(1)))
-        digit = bare.substr(1, 1).between("0", "9")
-        return F.struct(F.when(digit, NUMBER).when(bare.isin(UNITS), UNIT).when(capital, NAME).otherwise(bare).alias("t"), bare.alias("v"))
 
-    return F.transform(both, token)
+def with_runs(df: DataFrame, hashes: str) -> DataFrame:
+    """df with <hashes>1 to <hashes>4, each array<long>: the hash of the run of so many tokens from each place on, of the array of token hashes.
 
+    Each is a column of its own, made once; the last places, where a run is cut short, mean nothing.
+    """
 
-def token_hashes(tokens: Column, of: str = "t") -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x[of]))
+    def joined(a: str, b: str, by: int) -> Column:
+        return F.zip_with(a, F.slice(b, by + 1, F.greatest(F.size(b) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    one, two, three, four = (f"{hashes}{n}" for n in range(1, ANCHOR + 1))
+    df = df.withColumnRenamed(hashes, one)
+    df = df.withColumn(two, joined(one, one, 1))
+    return df.withColumns({three: joined(two, one, 2), four: joined(two, two, 2)})
 
 
-def window_hashes(hashes: Column, width: int) -> Column:
-    """array<long>: the hash of the window that begins at each place, of the hashes of its tokens."""
+WINDOWS = "array<struct<of:string,width:int,pos:int,hash:bigint>>"
+
+
+def windows(hashes: str, of: str, width: Column | int) -> Column:
+    """WINDOWS: those of ``width`` tokens, from the column of token hashes."""
+    width = F.lit(width) if isinstance(width, int) else width
     last = F.size(hashes) - width
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *[F.get(hashes, i + j) for j in range(width)]))
-    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<long>"))
-
-
-def item_windows(benchmark: DataFrame, width: int, min_words: int, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, width, hash and values of the windows to search for, each hash once for an item (its first place)."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), template(F.col(text)).alias("tokens")).where(F.size("tokens") >= min_words)
-    items = items.withColumn("hashes", token_hashes(F.col("tokens")))
-    found = None
-    for w in range(min_words, width + 1):
-        of = items.where(F.size("tokens") >= width) if w == width else items.where(F.size("tokens") == w)
-        at = of.select("item_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), w)).alias("pos", "hash"))
-        part = at.select("item_id", F.lit(w).alias("width"), "hash", "pos", F.slice("tokens", F.col("pos") + 1, F.lit(w)).alias("window"))
-        found = part if found is None else found.union(part)
-    told = F.size(F.filter("window", lambda x: ~x["t"].startswith("\x02")))
-    found = found.where(2 * told >= F.col("width"))
-    return found.groupBy("item_id", "width", "hash").agg(F.min_by(F.transform("window", lambda x: x["v"]), "pos").alias("item_values"))
-
-
-def plain_windows(benchmark: DataFrame, width: int, min_words: int, short_items: bool, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, width and hash of the windows of plain words, each hash once for an item; whole items where shorter than a window."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), template(F.col(text)).alias("tokens")).where(F.size("tokens") >= (1 if short_items else min_words))
-    items = items.select("item_id", F.size("tokens").alias("n"), token_hashes(F.col("tokens"), "v").alias("hashes"))
-    found = None
-    for w in range(1 if short_items else min_words, width + 1):
-        of = items.where(F.col("n") >= width) if w == width else items.where(F.col("n") == w)
-        part = of.select("item_id", F.lit(w).alias("width"), F.explode(window_hashes(F.col("hashes"), w)).alias("hash"))
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.lit(of).alias("of"), width.alias("width"), i.alias("pos"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash")))
+    return F.when(last >= 0, found).otherwise(F.array().cast(WINDOWS))
+
+
+def hashed(tokens: str, of: str) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x[of]))
+
+
+def item_windows(benchmark: DataFrame, of: str, width: int, min_words: int, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, of, width, hash, item_tokens and item_values of the windows to search for, each hash once for an item (its first place).
+
+    An item shorter than a window is one window. Windows of template tokens (``of`` is "t") of which more than half is placeholders are left out.
+    """
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), template(F.col(text)).alias("tokens")).where(F.size("tokens") >= max(1, min_words))
+    items = items.withColumn("hashes", hashed("tokens", of))
+    at = items.select("item_id", "tokens", F.explode(windows("hashes", of, F.least(F.size("tokens"), F.lit(width)))).alias("w"))
+    at = at.select("item_id", "w.*", F.slice("tokens", F.col("w.pos") + 1, F.col("w.width")).alias("window"))
+    at = at.select("item_id", "width", "pos", "hash", F.transform("window", lambda x: x[of]).alias("item_tokens"), F.transform("window", lambda x: x["v"]).alias("item_values"))
+    told = F.size(F.filter("item_tokens", lambda t: ~t.startswith("\x02")))
+    return at.where(2 * told >= F.col("width")).groupBy("item_id", F.lit(of).alias("of"), "width", "hash").agg(*[F.min_by(c, "pos").alias(c) for c in ("item_tokens", "item_values")])
+
+
+def anchors(wanted: DataFrame) -> DataFrame:
+    """(run, key): for each window, the number of tokens and the hash of its anchor, each once."""
+    df = with_runs(wanted.select("item_tokens", F.transform("item_tokens", lambda t: F.xxhash64(t)).alias("key")), "key")
+    df = df.withColumn("places", F.transform("item_tokens", lambda t, i: F.struct((~t.startswith("\x02")).cast("int").alias("told"), i.alias("i"))))
+    n, best = F.size("item_tokens"), None
+    for run in range(1, ANCHOR + 1):
+        told = lambda i: F.aggregate(F.slice("places", i + 1, F.lit(run)), F.lit(0), lambda s, x: s + x["told"])  # noqa: B023, E731
+        ways = F.transform(F.sequence(F.lit(0), F.greatest(n - run, F.lit(0))), lambda i: F.struct(told(i).alias("told"), (-i).alias("place"), F.get(f"key{run}", i).alias("key")))  # noqa: B023
+        test = n >= run if run == ANCHOR else n == run
+        best = F.when(test, F.array_max(ways)) if best is None else best.when(test, F.array_max(ways))
+    return df.select(F.least(n, F.lit(ANCHOR)).alias("run"), best["key"].alias("key")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, min_windows: int = 6, min_share: float = 0.5, min_consistent: float = 0.5, *, short_items: bool = False, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -95,44 +126,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_word
     ``min_consistent`` of its slots are consistent, or if as many of its plain windows are found: then, unless
     the former holds as well, the row counts plain windows, has no slots and is verbatim. verbatim: every slot stands for itself.
     """
-    wanted = table(item_windows(benchmark, width, min_words, item_id=item_id, text=item_text), "windows")
-    plain = table(plain_windows(benchmark, width, min_words, short_items, item_id=item_id, text=item_text), "plain")
-    widths = sorted(r[0] for r in wanted.select("width").union(plain.select("width")).distinct().collect())  # width values at most
-    plain_totals = small(table(plain.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows")), "plain_items"))
-    totals = small(table(wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows")), "items"))
-    keys = small(table(wanted.select("hash").union(plain.select("hash")).distinct(), "keys"))
-
-    def windows(*hashes: Column) -> Column:
-        return F.array_distinct(F.concat(*[window_hashes(h, w) for h in hashes for w in widths])) if widths else F.array().cast("array<long>")
+    names = {"item_id": item_id, "text": item_text}
+    wanted = table(item_windows(benchmark, "t", width, min_words, **names).union(item_windows(benchmark, "v", width, 1 if short_items else min_words, **names)), "windows")
+    widths = sorted(r[0] for r in wanted.select("width").distinct().collect())  # width values at most
+    totals = table(wanted.groupBy("of", "item_id").agg(F.count(F.lit(1)).alias("item_windows")), "items")
+    keys = table(anchors(wanted), "anchors")
+    runs = sorted(r[0] for r in keys.select("run").distinct().collect())  # ANCHOR values at most
+    keys = small(keys.select("key").distinct(), KEY_ROWS)
 
     named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tokens = named.select("doc_id", F.transform(template(F.col("text")), lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), F.xxhash64(x["v"]).alias("v"))).alias("h"))
-    hashed = tokens.select("doc_id", F.col("h.t").alias("t"), F.col("h.v").alias("v")).select("doc_id", F.explode(windows(F.col("t"), F.col("v"))).alias("hash"))
-    hit = small(table(hashed.join(keys, "hash", "left_semi").select("doc_id").distinct(), "hits"))
-    # The few documents with any window are read again, now with the values that their placeholders stand for.
+    found = named.select("doc_id", marked_words(F.col("text")).alias("words"))
+    found = found.select("doc_id", F.transform("words", lambda w: F.xxhash64(_token(w))).alias("t"), F.transform("words", lambda w: F.xxhash64(_value(w))).alias("v"))
+    found = with_runs(with_runs(found, "t"), "v")
+    found = found.select("doc_id", F.explode(F.concat(F.array().cast("array<long>"), *[F.col(f"{of}{run}") for of in ("t", "v") for run in runs])).alias("key"))
+    hit = small(table(found.join(keys, "key", "left_semi").select("doc_id").distinct(), "hits"), KEY_ROWS)
+    # The documents with any anchor are read again, now with the values that their placeholders stand for.
     again = named.join(hit, "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("tokens"))
-    again = again.withColumns({"hashes": token_hashes(F.col("tokens")), "plain": token_hashes(F.col("tokens"), "v")})
-    parts = copies = None
-    for w in widths:
-        part = again.select("doc_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), w)).alias("pos", "hash")).join(small(wanted), "hash").where(F.col("width") == w)
-        part = part.select("doc_id", "item_id", "hash", "item_values", F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["v"]).alias("values"), F.transform(F.slice("tokens", F.col("pos") + 1, F.lit(w)), lambda x: x["t"]).alias("types"))
-        parts = part if parts is None else parts.union(part)
-        copy = again.select("doc_id", F.explode(F.array_distinct(window_hashes(F.col("plain"), w))).alias("hash")).join(small(plain), "hash").where(F.col("width") == w).select("doc_id", "item_id", "hash")
-        copies = copy if copies is None else copies.union(copy)
-    if parts is None:
-        parts = named.sparkSession.createDataFrame([], "doc_id long, item_id long, hash long, item_values array<string>, values array<string>, types array<string>")
-        copies = parts.select("doc_id", "item_id", "hash")
-    counts = parts.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows"))
+    again = again.withColumns({of: hashed("tokens", of) for of in ("t", "v")})
+    at = again.select("doc_id", "tokens", F.explode(F.concat(F.array().cast(WINDOWS), *[windows(of, of, w) for of in ("t", "v") for w in widths])).alias("w"))
+    at = at.select("doc_id", "w.*", F.slice("tokens", F.col("w.pos") + 1, F.col("w.width")).alias("window")).join(small(wanted.drop("item_tokens")), ["of", "width", "hash"])
+    found = table(at.select("of", "doc_id", "item_id", "hash", "item_values", F.transform("window", lambda x: x["v"]).alias("values"), F.transform("window", lambda x: x["t"]).alias("types")), "found")
+    counts = found.groupBy("of", "doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows")).join(small(totals), ["of", "item_id"])
+    parts = found.where("of = 't'")
     slot = F.explode_outer(F.filter(F.arrays_zip("types", "item_values", "values"), lambda x: x["types"].startswith("\x02")))
     slots = parts.select("doc_id", "item_id", slot.alias("s")).where("s is not null").groupBy("doc_id", "item_id", F.col("s.item_values").alias("item_value"))
     slots = slots.agg(F.count_distinct("s.values").alias("n"), F.max((F.col("s.values") == F.col("s.item_values")).cast("int")).alias("same"))
     slots = slots.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_slots"), F.avg(((F.col("n") == 1) | (F.col("same") == 1)).cast("double")).alias("slot_consistency"), F.min((F.col("same") == 1) & (F.col("n") == 1)).alias("verbatim"))
-    found = counts.join(totals, "item_id").join(slots, ["doc_id", "item_id"], "left")
+    found = counts.where("of = 't'").join(slots, ["doc_id", "item_id"], "left")
     enough = (F.col("n_windows") >= min_windows) | (F.col("n_windows") >= min_share * F.col("item_windows"))
     consistent = F.coalesce(F.col("slot_consistency"), F.lit(1.0))
     found = found.where(enough & (consistent >= min_consistent)).select("doc_id", "item_id", "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), consistent.alias("slot_consistency"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
-    copied = copies.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("n_windows")).join(plain_totals, "item_id").where(enough)
-    copied = copied.select("doc_id", "item_id", "n_windows", "item_windows", F.lit(0).cast("long").alias("n_slots"), F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"))
+    copied = counts.where("of = 'v'").where(enough).select("doc_id", "item_id", "n_windows", "item_windows", F.lit(0).cast("long").alias("n_slots"), F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"))
     # A pair found both ways keeps the row of the template windows.
     columns = found.columns
     both = found.withColumn("way", F.lit(0)).union(copied.withColumn("way", F.lit(1))).groupBy("doc_id", "item_id")
