@@ -4,8 +4,9 @@ The rank of v among n present values is (values below v) / (n - 1): equal values
 single value ranks 1, missing values stand outside. Inverted ranks are 1 - rank.
 
 Two plans give the same numbers. "window" sorts each (universe, metric) group in one task: right for panels of many
-universes. "buckets" deals one large universe out: cut points split a metric's values into ranges, equal values
-are counted together, and each range is ranked on its own above the count of the ranges below it.
+universes, and the default with ``universe_keys``. "buckets" deals a universe out, and is the default for a single one: cut
+points split a metric's values into ranges, and each range is ranked on its own above the count of what lies below it. A
+value common enough to fill a range is itself a cut point; its rows need no order and are dealt out by hash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+#: Ranges of a metric's values.
+BUCKETS = 256
+#: Tasks that the rows of one cut value are dealt to.
+SALTS = 64
+_STEP = 16
 
 
 def percent_rank_inc(below: Column, n: Column) -> Column:
@@ -34,26 +39,36 @@ def _by_window(long: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _by_buckets(long: DataFrame, group: list[str], buckets: int) -> DataFrame:
-    """Rows per value are counted first, so a common value is one row; no group is ever in one task."""
-    values = long.withColumn("v", F.col("v") + F.lit(0.0)).groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
-    cuts = values.groupBy(*group).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    put = values.alias("a").join(cuts.alias("b"), same).select(*[f"a.{g}" for g in group], "v", "c", F.size(F.filter("cuts", lambda x: x <= F.col("v"))).alias("bucket"))
-    per = put.groupBy(*group, "bucket").agg(F.sum("c").alias("in_bucket"))
-    w = Window.partitionBy(*group).orderBy("bucket")
-    per = per.select(*group, "bucket", (F.sum("in_bucket").over(w) - F.col("in_bucket")).alias("before"), F.sum("in_bucket").over(Window.partitionBy(*group)).alias("n"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("v")
-    put = put.withColumn("below", F.sum("c").over(inside) - F.col("c"))
-    ranked = put.alias("a").join(per.alias("b"), [*same, F.col("a.bucket") == F.col("b.bucket")])
-    ranked = ranked.select(*[F.col(f"a.{g}").alias(g) for g in group], "v", percent_rank_inc(F.col("before") + F.col("below"), F.col("n")).alias("p"))
+    """No group, and no value, is ever one task. Cut points and counts are a few rows per range."""
+    kept = long.columns
     long = long.withColumn("v", F.col("v") + F.lit(0.0))
-    joined = long.alias("a").join(ranked.alias("b"), [*same, F.col("a.v") == F.col("b.v")])
-    return joined.select("a.*", "b.p")
-
-
-def rank_long(long: DataFrame, universe_keys: Sequence[str] = (), strategy: str = "window", buckets: int = BUCKETS) -> DataFrame:
+    cuts = long.groupBy(*group).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    if group == ["factor"]:
+        cuts = F.broadcast(cuts)  # one row per metric
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    # Cut points are searched in two steps: the first of every _STEP, then those after it.
+    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.lit(_STEP)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("v")))
+    at = F.greatest(first - 1, F.lit(0)) * _STEP
+    put = long.alias("a").join(cuts.alias("b"), same).select("a.*", "_cuts", at.alias("_at"))
+    put = put.select(*kept, (F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(_STEP)), lambda x: x <= F.col("v")))).alias("_bucket"), "_cuts")
+    put = put.select(*kept, "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("v"), F.lit(False)).alias("_cut"))
+    # Rows at a cut point come before the others of its range.
+    below = Window.partitionBy(*group).orderBy("_bucket", F.desc("_cut"))
+    per = put.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.select(*group, "_bucket", "_cut", (F.sum("_n").over(below) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_all"))
+    if group == ["factor"]:
+        per = F.broadcast(per)  # two rows per range
+    salt = F.when(F.col("_cut"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    inside = Window.partitionBy(*group, "_bucket", "_cut", "_salt").orderBy("v")
+    put = put.withColumn("_salt", salt).withColumn("_inside", F.rank().over(inside) - 1)
+    joined = put.alias("a").join(per.alias("b"), [*same, F.col("a._bucket") == F.col("b._bucket"), F.col("a._cut") == F.col("b._cut")])
+    return joined.select(*[f"a.{c}" for c in kept], percent_rank_inc(F.col("_before") + F.col("_inside"), F.col("_all")).alias("p"))
+
+
+def rank_long(long: DataFrame, universe_keys: Sequence[str] = (), strategy: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """long (.., factor, v) with p, the percentile rank of v in its universe and factor."""
     group = [*universe_keys, "factor"]
+    strategy = strategy or ("window" if universe_keys else "buckets")
     if strategy == "window":
         return _by_window(long, group)
     if strategy == "buckets":
@@ -61,7 +76,7 @@ def rank_long(long: DataFrame, universe_keys: Sequence[str] = (), strategy: str
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def rank_factors(df: DataFrame, columns: dict[str, str], inverted: dict[str, bool], defaults: dict[str, float], *, row_id: str = "_row_id", universe_keys: Sequence[str] = (), strategy: str = "window") -> DataFrame:
+def rank_factors(df: DataFrame, columns: dict[str, str], inverted: dict[str, bool], defaults: dict[str, float], *, row_id: str = "_row_id", universe_keys: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
     """df with one score column per factor -> column of ``columns``: one pass for all, joined back by row id."""
     long = unpivot(df, [row_id, *[k for k in universe_keys if k != row_id]], columns)
     ranked = rank_long(long, universe_keys, strategy)

@@ -12,7 +12,11 @@ from quantsieve.operators.ranking import rank_factors
 from quantsieve.sources.schema import CATEGORIES, CATEGORY_OF, FACTOR_NAMES, INVERTED, METRIC_OF, check_config, default_config
 
 
-def factor_scores(df: DataFrame, config: dict | None = None, *, factors: Sequence[str] = FACTOR_NAMES, row_id: str = "_row_id", universe_keys: Sequence[str] = (), strategy: str = "window") -> DataFrame:
+#: Most scenarios in one re-weighting.
+MAX_SCENARIOS = 10_000
+
+
+def factor_scores(df: DataFrame, config: dict | None = None, *, factors: Sequence[str] = FACTOR_NAMES, row_id: str = "_row_id", universe_keys: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
     config = check_config(config or default_config())
     return rank_factors(df, {f: METRIC_OF[f] for f in factors}, INVERTED, config["defaults"], row_id=row_id, universe_keys=universe_keys, strategy=strategy)
 
@@ -36,8 +40,11 @@ def scored_universe(metrics: DataFrame, config: dict | None = None, **options) -
 def reweight(scored: DataFrame, scenarios: DataFrame) -> DataFrame:
     """The composite of each row under each scenario (scenario, and a weight column per factor); ranks are not computed again.
 
-    Scenarios are weightings that a user lists; each of them meets each row, which is what the operator is for.
+    Scenarios are weightings that a user lists; each of them meets each row, which is what the operator is for. They are
+    sent to every executor, so more than MAX_SCENARIOS are an error: split them.
     """
+    if (n := scenarios.limit(MAX_SCENARIOS + 1).count()) > MAX_SCENARIOS:
+        raise ValueError(f"more than {MAX_SCENARIOS} scenarios ({n} seen)")
     sides = scenarios.select("scenario", *[F.col(f).alias(f"w_{f}") for f in FACTOR_NAMES])
     joined = scored.crossJoin(F.broadcast(sides))
     return joined.select("scenario", *[c for c in scored.columns if c not in FACTOR_NAMES and c != "overall_score"], composite({f: F.col(f"w_{f}") for f in FACTOR_NAMES}).alias("overall_score"))

@@ -91,10 +91,10 @@ def rank_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, F.col("perf_1w"), False, 0.5)
 
 
-@register("percentrank_inc", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT _row_id, factor, v, CASE WHEN count(*) OVER (PARTITION BY factor) = 1 THEN CAST(1 AS DOUBLE) ELSE (rank() OVER (PARTITION BY factor ORDER BY v) - 1) / CAST(count(*) OVER (PARTITION BY factor) - 1 AS DOUBLE) END AS p FROM (" + " UNION ALL ".join(f"SELECT _row_id, '{f[0]}' AS factor, {f[1]} AS v FROM m WHERE {f[1]} IS NOT NULL" for f in FACTORS[:6]) + ")")
+@register("percentrank_inc", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT _row_id, factor, v, CASE WHEN count(*) OVER (PARTITION BY factor) = 1 THEN CAST(1 AS DOUBLE) ELSE (rank() OVER (PARTITION BY factor ORDER BY v) - 1) / CAST(count(*) OVER (PARTITION BY factor) - 1 AS DOUBLE) END AS p FROM (" + " UNION ALL ".join(f"SELECT _row_id, '{f[0]}' AS factor, {f[1]} AS v FROM m WHERE {f[1]} IS NOT NULL" for f in FACTORS) + ")")
 def percentrank_inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for one large universe: value buckets."""
-    long = ranking.unpivot(measured(spark, sf_dir), ["_row_id"], {f[0]: f[1] for f in FACTORS[:6]})
+    long = ranking.unpivot(measured(spark, sf_dir), ["_row_id"], {f[0]: f[1] for f in FACTORS})
     return ranking.rank_long(long, strategy="buckets")
 
 
@@ -115,7 +115,7 @@ def mscore_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scored_universe", f"SELECT _row_id, {', '.join([*HEADERS.values(), *METRICS, *FACTOR_NAMES])}, overall_score, mscore_flag FROM ({o.scored()})")
 def scored_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, strategy="buckets").select("_row_id", *HEADERS.values(), *METRICS, *FACTOR_NAMES, "overall_score", "mscore_flag")
+    return scored(spark, sf_dir).select("_row_id", *HEADERS.values(), *METRICS, *FACTOR_NAMES, "overall_score", "mscore_flag")
 
 
 SCENARIOS = {name: {f: w * (2.0 if CATEGORY_OF[f] == name else 0.5) for f, w in default_config()["weights"].items()} for name in CATEGORIES}
@@ -208,6 +208,11 @@ def screen_facets_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.facet(read_companies(spark, sf_dir), "industry", SECTORS)
 
 
+@register("screen_facets_ticker", "SELECT DISTINCT 'P' || p_partkey AS ticker FROM part")
+def screen_facets_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.facet(read_companies(spark, sf_dir), "ticker")
+
+
 @register("screen_export", f"SELECT {SHOWN} FROM ({o.scored()})")
 def screen_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV and read again."""
@@ -292,10 +297,31 @@ def ingest_clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.ingest(spark, *_upload(spark, sf_dir)).select("ticker", *RAW_NUMBERS)
 
 
-@register("ingest_scan", "SELECT 'P' || p_partkey AS \"Ticker\", p_name AS \"Name\", p_type AS \"Sector\", p_brand AS \"Industry\" FROM part WHERE p_partkey % 3 > 0")
+@register("ingest_scan", "SELECT 'P' || p_partkey AS \"Ticker\", p_name AS \"Name\", p_type AS \"Sector\", p_brand AS \"Industry\" FROM part")
 def ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One upload as strings, before any cleaning."""
-    return uploads.scan(spark, uploads.list_uploads(spark, _upload(spark, sf_dir)[0])).select("Ticker", "Name", "Sector", "Industry")
+    """All uploads as strings, before any cleaning; each header's files are scanned together."""
+    united = None
+    for files in uploads.by_header(spark, uploads.list_uploads(spark, *_upload(spark, sf_dir))).values():
+        part = uploads.scan(spark, files).select("Ticker", "Name", "Sector", "Industry")
+        united = part if united is None else united.unionByName(part)
+    return united
+
+
+@register("stage_scored_roundtrip", f"SELECT _row_id, {', '.join([*METRICS, *FACTOR_NAMES])}, overall_score, mscore_flag FROM ({o.scored()})")
+def stage_scored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and scores, each stage written and read again."""
+    tables.save(measured(spark, sf_dir), path := new_path(spark, "metrics"))
+    tables.save(scoring.scored_universe(tables.load(spark, path)), path := new_path(spark, "scored"))
+    return tables.load(spark, path).select("_row_id", *METRICS, *FACTOR_NAMES, "overall_score", "mscore_flag")
+
+
+@register("stage_snapshots", " UNION ALL ".join(f"SELECT DATE '{day}' AS as_of, _row_id, ticker, market_cap, revenues_ttm FROM ({o.raw(day)})" for day in o.PANEL))
+def stage_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated snapshots in one table, each saved on its own without touching the others."""
+    path = new_path(spark, "snapshots")
+    for day in o.PANEL:
+        tables.save(read_companies(spark, sf_dir, day).withColumn("as_of", F.lit(day).cast("date")), path, "as_of")
+    return tables.load(spark, path).select("as_of", "_row_id", "ticker", "market_cap", "revenues_ttm")
 
 
 @register("stage_raw_roundtrip", f"SELECT _row_id, {', '.join(HEADERS.values())} FROM ({o.raw()})")
@@ -321,7 +347,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the part table lacks to be an upload, and how many of its rows that concerns."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return quality.missing_columns(part, HEADERS.values(), "part").crossJoin(F.broadcast(part.agg(F.count(F.lit(1)).alias("n_rows"))))
+    return quality.missing_columns(part, HEADERS.values(), "part").withColumn("n_rows", F.lit(part.count()))
 
 
 FIELDS = ["revenues_t3m", "revenues_ttm", "market_cap", "net_debt"]
@@ -339,10 +365,10 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.snapshot_report(kept, FIELDS)
 
 
-_FENCED = ["market_cap", "revenues_ttm", "net_debt", "ps_diff", "mscore"]
+_FENCED = [*RAW_NUMBERS, *METRICS]
 
 
-@register("quality_outliers", f"WITH m AS MATERIALIZED ({o.metrics()}) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(low) AS low, min(high) AS high, count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM (SELECT {c}, a - CAST(3 AS DOUBLE) * (b - a) AS low, b + CAST(3 AS DOUBLE) * (b - a) AS high FROM m, (SELECT quantile_disc({c}, 0.25) AS a, quantile_disc({c}, 0.75) AS b FROM m)) WHERE {c} IS NOT NULL" for c in _FENCED))
+@register("quality_outliers", f"WITH m AS MATERIALIZED ({o.metrics()}) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, min(low) AS low, min(high) AS high, count(*) FILTER ({c} < low OR {c} > high) AS n_outliers FROM (SELECT {c}, a - CAST(3 AS DOUBLE) * (b - a) AS low, b + CAST(3 AS DOUBLE) * (b - a) AS high FROM m, (SELECT quantile_disc({c}, 0.25) AS a, quantile_disc({c}, 0.75) AS b FROM m)) WHERE {c} IS NOT NULL HAVING count(*) > 0" for c in _FENCED))
 def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(measured(spark, sf_dir), _FENCED)
 
@@ -350,6 +376,12 @@ def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parity --------------------------------------------------------------------------------------------
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a stage's table: the two sides of a comparison are both made of it, and read it instead of scoring again."""
+    tables.save(df, path := new_path(spark, "scored"))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reference(df: DataFrame) -> DataFrame:
     """The external table that parity compares with: scores moved on some keys, some keys gone, some of its own."""
     k = F.col("_row_id")
@@ -376,7 +408,7 @@ _FACTOR_PARITY = " UNION ALL ".join(
 
 @register("parity_factors", f"{_WITH} {_FACTOR_PARITY}")
 def parity_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = stored(spark, scored(spark, sf_dir))
     return parity.factor_parity(df, reference(df))
 
 
@@ -391,19 +423,19 @@ def _value_sql(column: str, tolerances: list[float]) -> str:
 
 @register("parity_overall", f"{_WITH} {_value_sql('overall_score', [0.001, 0.01, 0.05])}")
 def parity_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = stored(spark, scored(spark, sf_dir))
     return parity.value_parity(df, reference(df), "overall_score", [0.001, 0.01, 0.05])
 
 
 @register("parity_mscore", f"{_WITH} {_value_sql('mscore', [0.001])}")
 def parity_mscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = stored(spark, scored(spark, sf_dir))
     return parity.value_parity(df, reference(df), "mscore", [0.001])
 
 
 @register("parity_coverage", f"{_WITH}, a AS (SELECT DISTINCT ticker AS k FROM sc), b AS (SELECT DISTINCT trim(ref_ticker, ' ' || chr(9)) AS k FROM ref WHERE ref_ticker IS NOT NULL) SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS in_both, count(*) FILTER (b.k IS NULL) AS only_computed, count(*) FILTER (a.k IS NULL) AS only_reference FROM a FULL JOIN b ON a.k = b.k")
 def parity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = stored(spark, scored(spark, sf_dir))
     return parity.coverage(df, reference(df))
 
 
@@ -424,9 +456,9 @@ def trend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.score_trend(scored_panel(spark, sf_dir))
 
 
-@register("trend_factors", f"WITH p AS MATERIALIZED ({_PANEL}) " + " UNION ALL ".join(f"SELECT ticker, as_of, '{f}' AS factor, {f} AS score, {f} - lag({f}) {_W} AS change FROM p" for f in FACTOR_NAMES[:4]))
+@register("trend_factors", f"WITH p AS MATERIALIZED ({_PANEL}) " + " UNION ALL ".join(f"SELECT ticker, as_of, '{f}' AS factor, {f} AS score, {f} - lag({f}) {_W} AS change FROM p" for f in FACTOR_NAMES))
 def trend_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.factor_trend(scored_panel(spark, sf_dir), FACTOR_NAMES[:4])
+    return history.factor_trend(scored_panel(spark, sf_dir))
 
 
 @register("backtest_deciles", f"SELECT as_of, decile, count(*) AS n, CAST(sum(CAST(r AS DECIMAL(28,12))) AS DOUBLE) / count(*) AS mean_return FROM (SELECT *, ntile(10) OVER (PARTITION BY as_of ORDER BY overall_score, ticker) AS decile FROM (SELECT as_of, ticker, overall_score, lead(revenues_ttm) {_W} / nullif(revenues_ttm, 0) - 1 AS r FROM ({_PANEL})) WHERE r IS NOT NULL) GROUP BY as_of, decile")

@@ -10,7 +10,7 @@ from quantsieve.sources.schema import CATEGORIES, FACTOR_NAMES, METRIC_OF, defau
 
 
 def scores(spark, values, inverted=False, default=0.5, strategy="window"):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "_row_id long, v double")
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "_row_id long, v double")
     out = ranking.rank_factors(df, {"s": "v"}, {"s": inverted}, {"s": default}, strategy=strategy)
     return [r["s"] for r in out.orderBy("_row_id").collect()]
 
