@@ -6,7 +6,7 @@ the tokens it will expand to are counted. ``format_conversations`` joins the tur
 one string with its loss mask; ``read_back`` takes such strings apart again.
 
 Escaping is reversible: in texts and roles ``\`` becomes ``\b`` and ``<`` becomes ``\l``, so that a ``<`` in the
-output always belongs to the template.
+output always belongs to the template; in roles a line end becomes ``\n``, so that the first line of a turn is its role.
 
 Defined results: a null text, role or part list counts as empty; a null conversation id forms a
 conversation of its own; turns with the same number stand in the order of role and text; null turns come
@@ -32,6 +32,14 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.replace(c, F.lit("\\n"), F.lit("\n")))
+
+
 def text_part(text: Column) -> Column:
     """A part list that holds one text."""
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units")))
@@ -89,12 +97,12 @@ def format_conversations(turns: DataFrame, parts: Column | None = None, *, conv:
     """
     flat = flatten_parts(text_part(F.col(text)) if parts is None else parts)
     bodies = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("_qs_turn"), F.coalesce(F.col(role), F.lit("")).alias("_qs_role"), flat.alias("_qs_flat"))
-    piece = F.concat(F.lit(OPEN), escape(F.col("_qs_role")), F.lit("\n"), F.col("_qs_flat.body"), F.lit(CLOSE))
+    piece = F.concat(F.lit(OPEN), escape_role(F.col("_qs_role")), F.lit("\n"), F.col("_qs_flat.body"), F.lit(CLOSE))
     bodies = bodies.select("conv_id", F.struct(F.col("_qs_turn").alias("turn"), F.col("_qs_role").alias("role"), F.col("_qs_flat.body").alias("body"), piece.alias("piece"), F.col("_qs_flat.attachments").alias("attachments"), F.col("_qs_flat.expanded_tokens").alias("tokens")).alias("t"))
     rows = bodies.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     lengths = F.transform("ts", lambda t: F.length(t["piece"]))
     rows = rows.withColumn("lengths", lengths).withColumn("at", running_sums(F.col("lengths")))
-    span = F.zip_with("ts", "at", lambda t, at: F.struct(t["role"].alias("role"), (at + len(OPEN) + F.length(escape(t["role"])) + 1).cast("int").alias("start"), F.length(t["body"]).alias("length")))
+    span = F.zip_with("ts", "at", lambda t, at: F.struct(t["role"].alias("role"), (at + len(OPEN) + F.length(escape_role(t["role"])) + 1).cast("int").alias("start"), F.length(t["body"]).alias("length")))
     return rows.select(
         "conv_id",
         F.size("ts").cast("long").alias("n_turns"),
@@ -112,7 +120,7 @@ def read_back(formatted: Column) -> Column:
     def turn(p: Column) -> Column:
         inner = F.substr(p, F.lit(len(OPEN) + 1))
         cut = F.locate("\n", inner)
-        return F.struct(unescape(F.substr(inner, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(inner, cut + 1)).alias("text"))
+        return F.struct(unescape_role(F.substr(inner, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(inner, cut + 1)).alias("text"))
 
     return F.transform(pieces, turn)
 

@@ -32,11 +32,12 @@ def test_digest(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(None, None, None, None), (None, 1, "assistant", "x"), (5, 0, "a<b\\", "t"), (5, 0, "a<b\\", "t"), (6, 2, "user", "late"), (6, None, "user", "first")]
+    rows = [(None, None, None, None), (None, 1, "assistant", "x"), (5, 0, "a<b\\", "t"), (5, 0, "a<b\\", "t"), (7, 0, "a\nb\\n\\\n", "x" * 200_000), (6, 2, "user", "late"), (6, None, "user", "first")]
     got = {r["conv_id"]: r for r in c.format_conversations(turns(spark, rows).withColumn("formatted", F.lit(1)).withColumn("ts", F.lit(2))).withColumn("back", c.read_back(F.col("formatted"))).collect()}
     assert [tuple(t) for t in got[None]["back"]] == [("", ""), ("assistant", "x")]
     assert [tuple(t) for t in got[5]["back"]] == [("a<b\\", "t")] * 2
     assert [t["text"] for t in got[6]["back"]] == ["first", "late"]
+    assert [tuple(t) for t in got[7]["back"]] == [("a\nb\\n\\\n", "x" * 200_000)]
     assert c.digest(c.format_conversations(turns(spark, []))).count() == 0
 
 
