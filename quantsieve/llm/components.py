@@ -3,8 +3,8 @@
 Large-star: every node hands each larger neighbour to the smallest node of its neighbourhood. Small-star:
 every node hands its smaller neighbours and itself to the smallest of them. Each step turns E links into at
 most E, and together they end in one star per component. A step is a grouped minimum (combined before the
-shuffle, so a hub costs one row per task) and a join on the node, whose large side adaptive execution can
-split; no node's neighbours are ever gathered.
+shuffle, so a hub costs one row per task) and a join on the node, in which every node's links are dealt to SALTS
+parts by their other end and its minimum is sent to each; no node's neighbours are ever gathered.
 """
 
 from __future__ import annotations
@@ -15,16 +15,28 @@ from pyspark.sql import functions as F
 from quantsieve.llm._shared import table
 
 
+#: Parts that the links of a node are dealt to.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (u, v) with m, the least neighbour of u."""
+    salted = links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    sent = least.withColumn("s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    # Copies compress so well that their size would be taken for one to broadcast.
+    return salted.join(sent.hint("merge"), ["u", "s"]).drop("s")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
