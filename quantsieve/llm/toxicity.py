@@ -6,7 +6,7 @@ for negatives, less what the positives among them add, and where that difference
 is overfitting) its gradient is turned round. Scores are logistic, so a score estimates the probability.
 
 Training takes a sample of at most ``max_train`` positives and as many unlabelled texts, drawn by a hash of the
-id; it alone goes to the driver, as word hashes. All documents are scored, from whole texts.
+id. Their slots are counted in Spark, and only those that get a weight go to the driver. All documents are scored, from whole texts.
 
 Defined results: a null or empty text scores by the bias alone; an id labelled twice is toxic if any label says
 so; without positives every score is the prior (0); rows without an id are scored but never trained on; an
@@ -25,11 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantsieve.llm._shared import table
+
 BITS = 18
 PREFIXES = (5, 7)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Steps of training at least, whatever the number of texts.
 MIN_STEPS = 400
+#: A slot gets a weight if so many training texts hold it, and its shares differ by so many standard errors.
+MIN_COUNT, MIN_Z = 3, 5.0
 _CACHE_WORDS = 200_000
 _cache: dict[str, tuple[int, ...]] = {}
 
@@ -65,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(slots), -30, 30))) if slots else np.empty(0)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float | None = None, min_count: int = 3, min_z: float = 5.0, seed: int = 11) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, epochs: int = 20, batch: int = 512, rate: float = 0.05, decay: float | None = None, min_count: int = MIN_COUNT, min_z: float = MIN_Z, seed: int = 11) -> Model:
     """Minimise the non-negative risk with logistic loss by Adam.
 
     decay, the weight of the squared weights, is 40 over the number of texts (0.01 at most) if not given.
@@ -147,14 +151,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, *, doc_id:
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "slots": [word_slots(t).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "slots": [word_slots(t) for t in pdf["text"]]})
+
+    sample = table(p.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), "positive").union(u.select(F.col(doc_id).cast("long"), F.col(text), "positive")).mapInPandas(slots, "id long, positive int, slots array<int>"), "sample")
+    # Slots are counted and chosen in Spark; of the texts, only the chosen ones go to the driver.
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = sample.select("positive", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("positive").alias("in_pos"), F.count(F.lit(1)).alias("n"))
+    n_pos, n_unl = sizes.get(1, 0), sizes.get(0, 0)
+    used = np.sort(counts.where(_stands_out(F.col("in_pos"), F.col("n"), n_pos, n_unl)).select("slot").toPandas()["slot"].to_numpy(np.int32))  # 2**BITS at most
+    sent = docs.sparkSession.sparkContext.broadcast(used)
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(slots=[s[np.isin(s, sent.value, assume_unique=True)].astype(np.int32).tobytes() for s in pdf["slots"]])
 
-    sample = p.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), "positive").union(u.select(F.col(doc_id).cast("long"), F.col(text), "positive")).mapInPandas(slots, "id long, positive int, slots binary")
-    got = sample.toPandas().sort_values(["positive", "id", "slots"])
+    got = sample.mapInPandas(chosen, "id long, positive int, slots binary").toPandas().sort_values(["positive", "id", "slots"])
     side = lambda x: [np.frombuffer(s, np.int32) for s in got.loc[got["positive"] == x, "slots"]]
     return train(side(1), side(0), n_toxic / n)
 
 
+def _stands_out(in_pos: Column, n: Column, n_pos: int, n_unl: int, min_count: int = MIN_COUNT, min_z: float = MIN_Z) -> Column:
+    """The test of train() as an expression, a little wider than it, so that rounding loses nothing."""
+    n_all = n_pos + n_unl
+    pooled = n / F.lit(float(n_all or 1))
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / max(1, n_pos) + 1 / max(1, n_unl)))
+    z = (in_pos / max(1, n_pos) - (n - in_pos) / max(1, n_unl)) / error
+    return (n >= min_count) & (F.abs(z) >= min_z * 0.999)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 2**BITS weights, whatever the corpus holds
