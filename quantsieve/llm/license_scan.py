@@ -2,7 +2,8 @@ r"""Licence detection by ordered signature rules.
 
 Hand-written families (a label, a name pattern, an SPDX pattern, versions, web addresses) are put through
 hand-written forms (SPDX tag, address, grant, name with version, name with the word licence, bare title),
-which gives some hundreds of regexes. Each has keywords of which one must stand in the text before it is tried, a
+which gives some hundreds of regexes; beside them stand signatures of licence bodies, file headers, notices, exceptions and
+choices. Each has keywords of which one must stand in the text before it is tried (all are looked for in one pass), a
 priority by its form, and a confidence. Detections are taken in order of priority, length and place; one whose
 interval lies within an accepted one is suppressed.
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,8 +88,77 @@ FORMS = [
 ]
 
 
-#: Some of these stand in whatever a rule can match.
-_GATE = re.compile(r"licen[cs]|under\s|spdx-|http|www\.|\.\w+/|public domain|wtfpl\.net", re.IGNORECASE)
+# Label, form, keywords, and words of a licence's own text, of a file's header, of an exception or of a choice of licences.
+# A space stands for any white space and comment marks, "..." for up to 80 characters.
+TEXTS = [
+    ("mit", "body", "permission is hereby granted, free of charge, to any person obtaining", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "condition", "permission notice shall be included", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("boost", "body", "to any person or organization obtaining", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("isc", "body", "permission to use, copy, modify, and", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "body", "permission to use, copy, modify, and", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "body", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "condition", "endorse or promote products", r"neither the names? of ... may be used to endorse or promote products derived from this software"),
+    ("bsd", "condition", "advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "condition", "binary form must reproduce the above copyright", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "header", "bsd-style", r"governed by a bsd-style licen[cs]e"),
+    ("apache", "header", "you may not use this file except in compliance", r"you may not use this file except in compliance with the license"),
+    ("apache", "header", "to you under the apache license", r"licenses this file to you under the apache license"),
+    ("apache", "body", "subject to the terms and conditions of this license, each contributor", r"subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual"),
+    ("gpl", "header", "this program is free software", r"this program is free software[:;] you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl", "notice", "copy of the gnu general public license", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "body", "intended to guarantee your freedom to share", r"the gnu general public license is intended to guarantee your freedom to share and change"),
+    ("lgpl", "header", "this library is free software", r"this library is free software[:;] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "notice", ("copy of the gnu lesser", "copy of the gnu library"), r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "header", "under the terms of the gnu affero", r"redistribute it and/or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "notice", "copy of the gnu affero", r"you should have received a copy of the gnu affero general public license"),
+    ("gfdl", "header", "permission is granted to copy, distribute and/or modify this document", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "header", "this source code form is subject to", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "header", "subject to the mozilla public license", r"the contents of this file are subject to the mozilla public license"),
+    ("epl", "header", "this program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cpl", "header", "this program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the common public license"),
+    ("cddl", "header", "subject to the terms of the common development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "header", "licensed under the eupl", r"licensed under the eupl"),
+    ("artistic", "header", "same terms as perl itself", r"(?:redistribute it and/or modify it )?under the same terms as perl itself"),
+    ("zlib", "body", "without any express or implied warranty. in no event will the authors", r"this software is provided 'as-is', without any express or implied warranty\. in no event will the authors be held liable"),
+    ("zlib", "condition", "origin of this software must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("unlicense", "body", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "body", "you just do what the", r"you just do what the f\w+ you want to"),
+    ("cc0", "body", "dedicated the work to the public domain", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "notice", "waived all copyright", r"has waived all copyright and related or neighboring rights to"),
+    ("public-domain", "notice", "the public domain", r"(?:is|are|was|were) (?:hereby )?(?:placed|put|released) (?:in|into) the public domain"),
+    ("public-domain", "notice", "no copyright is claimed", r"no copyright is claimed"),
+    ("ofl", "header", "licensed under the sil open font", r"this font software is licensed under the sil open font license"),
+    ("php", "header", "subject to version", r"this source file is subject to version [\d.]+ of the php license"),
+    ("python", "body", "psf hereby grants", r"psf hereby grants licensee a nonexclusive, royalty-free, world-wide license"),
+    ("openssl", "condition", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ms-pl", "body", "this license governs use of the accompanying software", r"this license governs use of the accompanying software\. if you use the software, you accept this license"),
+    ("cc-by", "notice", "this work is licensed under a creative commons", r"this work is licensed under a creative commons attribution [\d.]+"),
+    ("cc-by-sa", "notice", "attribution-sharealike", r"this work is licensed under (?:a|the) creative commons attribution-sharealike"),
+    ("classpath-exception", "exception", "classpath", r"(?:with|the) (?:the )?(?:gnu )?classpath[-\s]exception"),
+    ("gcc-exception", "exception", "gcc runtime library exception", r"gcc runtime library exception"),
+    ("llvm-exception", "exception", "llvm", r"(?:with )?(?:the )?llvm[-\s]exceptions?"),
+    ("linking-exception", "exception", "special exception", r"as a special exception, ... (?:gives?|give you|have) permission to link"),
+    ("autoconf-exception", "exception", "configure script generated by autoconf", r"a configure script generated by autoconf"),
+    ("bison-exception", "exception", "bison parser skeleton", r"part or all of the bison parser skeleton"),
+    ("font-exception", "exception", "embed this font", r"if you create a document which uses this font, and embed this font"),
+    ("linux-syscall-note", "exception", "syscall", r"linux-syscall-note"),
+    ("dual", "choice", "dual", r"dual[-\s]licen[cs]ed"),
+    ("dual", "choice", "licensed under either of", r"licensed under either of"),
+    ("dual", "choice", "alternatively, ", r"alternatively, ... may be (?:used|distributed|licensed) under the terms of"),
+    ("proprietary", "notice", "confidential", r"(?:confidential and proprietary|proprietary and confidential)"),
+    ("proprietary", "notice", "may be reproduced", r"no part of this ... may be reproduced"),
+    ("proprietary", "notice", "unauthorized copying of this file", r"unauthorized copying of this file, via any medium,? is strictly prohibited"),
+    ("all-rights-reserved", "notice", "all rights reserved", r"all rights reserved"),
+]
+# Form, priority and confidence of TEXTS.
+TEXT_FORMS = {"body": (5, 0.95), "header": (5, 0.95), "condition": (3, 0.7), "notice": (3, 0.7), "exception": (3, 0.7), "choice": (2, 0.5)}
+_GAP = r"[\s*#/;]+"
+
+
+def _flexible(text: str) -> str:
+    return text.replace(" ... ", r" [^\0]{1,80}? ").replace(" ", _GAP)
+
+
 _LOWERED = str.maketrans(UPPER, LOWER)
 
 
@@ -113,9 +184,27 @@ def rules() -> tuple[Rule, ...]:
             inner = {"name": name, "spdx": spdx, "address": address}[kind]
             needed = {"name": (keywords,) if isinstance(keywords, str) else keywords, "spdx": ("spdx-",), "address": (re.sub(r"\\", "", re.match(r"(?:[\w-]|\\\.)*", address)[0]),)}[kind]
             made.append(Rule(label, form, priority, confidence, needed, re.compile(around.format(name=inner, word=_WORD, version=_VERSION))))
+    for label, form, keywords, text in TEXTS:
+        # Keywords of several words stand in a wrapped text in parts: their longest word is looked for.
+        needed = tuple(max(re.split(r"\s+", k.strip()), key=len) for k in ((keywords,) if isinstance(keywords, str) else keywords))
+        made.append(Rule(label, form, *TEXT_FORMS[form], needed, re.compile(_flexible(text))))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
+@cache
+def _automaton() -> tuple[ahocorasick.Automaton, tuple[Rule, ...]]:
+    """Finds in one pass which keywords a text holds; each leads to the places of its rules."""
+    by_keyword: dict[str, list[int]] = {}
+    for place, rule in enumerate(rules()):
+        for k in rule.keywords:
+            by_keyword.setdefault(k, []).append(place)
+    made = ahocorasick.Automaton()
+    for k, places in by_keyword.items():
+        made.add_word(k, (k, places))
+    made.make_automaton()
+    return made, rules()
+
+
 @dataclass(frozen=True)
 class Detection:
     start: int
@@ -125,10 +214,11 @@ class Detection:
 
 def detect(text: str) -> list[Detection]:
     """Accepted detections in the order of the text."""
-    if not _GATE.search(text):
-        return []
     lowered = text.translate(_LOWERED)
-    found = [Detection(m.start(), m.end(), r) for r in rules() if any(k in lowered for k in r.keywords) for m in r.pattern.finditer(lowered)]
+    automaton, every = _automaton()
+    held = {k: places for _, (k, places) in automaton.iter(lowered)}
+    tried = sorted({place for places in held.values() for place in places})
+    found = [Detection(m.start(), m.end(), every[place]) for place in tried for m in every[place].pattern.finditer(lowered)]
     found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
     longest = max((d.end - d.start for d in found), default=0)
     accepted: list[tuple[int, int, int]] = []  # start, end, place in found: by start, so that only near ones are looked at
