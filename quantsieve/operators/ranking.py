@@ -41,17 +41,17 @@ def _by_window(long: DataFrame, group: list[str]) -> DataFrame:
 def _by_buckets(long: DataFrame, group: list[str], buckets: int) -> DataFrame:
     """No group, and no value, is ever one task. Cut points and counts are a few rows per range."""
     kept = long.columns
-    long = long.withColumn("v", F.col("v") + F.lit(0.0))
-    cuts = long.groupBy(*group).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    long = long.withColumn("_v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
+    cuts = long.groupBy(*group).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
     if group == ["factor"]:
         cuts = F.broadcast(cuts)  # one row per metric
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     # Cut points are searched in two steps: the first of every _STEP, then those after it.
-    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.lit(_STEP)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("v")))
+    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.lit(_STEP)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("_v")))
     at = F.greatest(first - 1, F.lit(0)) * _STEP
     put = long.alias("a").join(cuts.alias("b"), same).select("a.*", "_cuts", at.alias("_at"))
-    put = put.select(*kept, (F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(_STEP)), lambda x: x <= F.col("v")))).alias("_bucket"), "_cuts")
-    put = put.select(*kept, "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("v"), F.lit(False)).alias("_cut"))
+    put = put.select(*kept, "_v", (F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(_STEP)), lambda x: x <= F.col("_v")))).alias("_bucket"), "_cuts")
+    put = put.select(*kept, "_v", "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("_v"), F.lit(False)).alias("_cut"))
     # Rows at a cut point come before the others of its range.
     below = Window.partitionBy(*group).orderBy("_bucket", F.desc("_cut"))
     per = put.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n"))
@@ -59,7 +59,7 @@ def _by_buckets(long: DataFrame, group: list[str], buckets: int) -> DataFrame:
     if group == ["factor"]:
         per = F.broadcast(per)  # two rows per range
     salt = F.when(F.col("_cut"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
-    inside = Window.partitionBy(*group, "_bucket", "_cut", "_salt").orderBy("v")
+    inside = Window.partitionBy(*group, "_bucket", "_cut", "_salt").orderBy("_v")
     put = put.withColumn("_salt", salt).withColumn("_inside", F.rank().over(inside) - 1)
     joined = put.alias("a").join(per.alias("b"), [*same, F.col("a._bucket") == F.col("b._bucket"), F.col("a._cut") == F.col("b._cut")])
     return joined.select(*[f"a.{c}" for c in kept], percent_rank_inc(F.col("_before") + F.col("_inside"), F.col("_all")).alias("p"))
