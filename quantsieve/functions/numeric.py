@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as a number once commas and outer white space are gone.
-NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
+#: What counts as a number once commas are gone, as group 1.
+NUMBER_SHAPE = r"(?U)^\s*([+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?))\s*$"
 OUTER_SPACE = r"(?U)^\s+|\s+$"
 
 
@@ -27,5 +27,4 @@ def trimmed(text: Column) -> Column:
 
 def parse_number(text: Column) -> Column:
     """The double that text states, with thousands commas and outer white space allowed; NULL where it states none."""
-    bare = trimmed(F.replace(text, F.lit(","), F.lit("")))
-    return F.when(bare.rlike(NUMBER_SHAPE), bare.try_cast("double"))
+    return F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), NUMBER_SHAPE, 1).try_cast("double")

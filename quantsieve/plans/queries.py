@@ -250,13 +250,14 @@ def _messy(df: DataFrame, columns: list[str]) -> DataFrame:
     header = {v: k for k, v in HEADERS.items()}
     odd = F.col("_row_id") % 2 == 1
 
-    def text(c: str) -> Column:
-        if c in IDENTITY:
-            return F.col(c)
-        s = F.regexp_replace(F.col(c).cast("string"), r"(?<!\.\d{0,30})(?<=\d)(?=(\d{3})+(?:\.|$))", ",")
-        return F.coalesce(F.when(odd, F.concat(F.lit(" "), s, F.lit("\t"))).otherwise(s), F.when(odd | F.lit(c == "available_loc"), F.lit("#N/A N/A")).otherwise(F.lit("")))
+    numbers = [c for c in columns if c not in IDENTITY]
 
-    return df.select(*[text(c).alias(header.get(c, c)) for c in columns])
+    def text(s: Column, i: Column) -> Column:
+        s = F.regexp_replace(s, r"(?<!\.\d{0,30})(?<=\d)(?=(\d{3})+(?:\.|$))", ",")
+        return F.coalesce(F.when(odd, F.concat(F.lit(" "), s, F.lit("\t"))).otherwise(s), F.when(odd | (i == numbers.index("available_loc")), F.lit("#N/A N/A")).otherwise(F.lit("")))
+
+    told = df.select(*[c for c in columns if c in IDENTITY], F.transform(F.array(*[F.col(c).cast("string") for c in numbers]), text).alias("_texts"))
+    return told.select(*[(F.col(c) if c in IDENTITY else F.get("_texts", F.lit(numbers.index(c)))).alias(header.get(c, c)) for c in columns])
 
 
 def _upload(spark: SparkSession, sf_dir: str) -> list[str]:

@@ -12,6 +12,10 @@ from quantsieve.functions.numeric import parse_number
 from quantsieve.sources.schema import HEADERS, IDENTITY, MARKER_IS_ZERO, MISSING_MARKER
 
 
+#: Columns whose numbers are parsed together.
+PARSED = 20
+
+
 def _col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -60,19 +64,26 @@ def check_columns(columns: Sequence[str], source: str, headers: Mapping[str, str
 
 
 def cleaned(df: DataFrame, headers: Mapping[str, str] = HEADERS) -> DataFrame:
-    """Renamed and typed: identity columns stay text, all others, extra ones too, become doubles."""
-    out = []
+    """Renamed and typed: identity columns stay text, all others, extra ones too, become doubles.
+
+    Numbers are parsed in arrays of PARSED columns: parsing each in code of its own outgrows what Java compiles, and
+    parsing all in one would parse columns that no one asks for.
+    """
+    out, numbers = {}, []
     for name in df.columns:
         target = headers.get(name, name)
-        if target == "_source_file":
-            out.append(_col(name))
-            continue
         value = _col(name)
-        if target in MARKER_IS_ZERO:
-            value = F.when(value == MISSING_MARKER, F.lit("0")).otherwise(value)
-        value = F.nullif(value, F.lit(MISSING_MARKER))
-        out.append((value if target in IDENTITY else parse_number(value)).alias(target))
-    return df.select(*out)
+        if target != "_source_file":
+            if target in MARKER_IS_ZERO:
+                value = F.when(value == MISSING_MARKER, F.lit("0")).otherwise(value)
+            value = F.nullif(value, F.lit(MISSING_MARKER))
+        out[target] = value
+        if target != "_source_file" and target not in IDENTITY:
+            numbers.append(target)
+    groups = [numbers[i : i + PARSED] for i in range(0, len(numbers), PARSED)]
+    parsed = df.select(*[out[t].alias(t) for t in out if t not in numbers], *[F.transform(F.array(*[out[t] for t in g]), parse_number).alias(f"_numbers{k}") for k, g in enumerate(groups)])
+    place = {t: F.get(f"_numbers{k}", F.lit(i)) for k, g in enumerate(groups) for i, t in enumerate(g)}
+    return parsed.select(*[place[t].alias(t) if t in place else _col(t) for t in out])
 
 
 def ingest(spark: SparkSession, *folders: str, headers: Mapping[str, str] = HEADERS) -> DataFrame:
