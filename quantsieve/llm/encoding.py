@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers, about (two generations of half as many), and the longest of them, in characters.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 40
+CACHE_PIECES, CACHE_CHARS = 600_000, 40
 #: Bytes of text that are encoded together, about.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 # The pre-tokenizers and normalizers that cuts() is right for.
 _BYTE_RUNS = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _WORD_RUNS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
