@@ -6,7 +6,11 @@ added to the raw table and the snapshots that it touches are scored again as who
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantsieve.functions.metrics import with_metrics
@@ -14,9 +18,9 @@ from quantsieve.operators.scoring import scored_universe
 from quantsieve.sources.tables import save
 
 
-def rescore(spark: SparkSession, raw_path: str, scored_path: str, as_ofs: DataFrame, config: dict | None = None) -> None:
-    """Score the snapshots named in as_ofs and overwrite them, and no others, in the scored table."""
-    touched = spark.read.parquet(raw_path).join(as_ofs, "as_of", "left_semi")
+def rescore(spark: SparkSession, raw_path: str, scored_path: str, as_ofs: Sequence[date], config: dict | None = None) -> None:
+    """Score the snapshots named in as_ofs and overwrite them, and no others, in the scored table; only their partitions of the raw table are read."""
+    touched = spark.read.parquet(raw_path).where(F.col("as_of").isin(list(as_ofs)))
     save(scored_universe(with_metrics(touched), config, universe_keys=["as_of"]), scored_path, "as_of")
 
 
@@ -27,8 +31,8 @@ def refresh(spark: SparkSession, incoming: str, schema: str, raw_path: str, scor
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{raw_path}/batch={batch_id}")
-        days = spark.read.parquet(f"{raw_path}/batch={batch_id}").select("as_of").distinct()
+        batch.write.mode("overwrite").partitionBy("as_of").parquet(f"{raw_path}/batch={batch_id}")
+        days = [r["as_of"] for r in spark.read.parquet(f"{raw_path}/batch={batch_id}").select("as_of").distinct().collect()]  # snapshots in one batch
         rescore(spark, raw_path, scored_path, days, config)
 
     stream = spark.readStream.schema(schema).parquet(incoming)
