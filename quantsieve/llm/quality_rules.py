@@ -19,6 +19,7 @@ those of the same name; names that begin with ``_qs_`` are reserved.
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,21 +53,21 @@ def _common_list(lang: Column) -> Column:
     return chosen
 
 
-def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", fold: bool = False) -> DataFrame:
-    """docs with the counts (long) and the histograms _qs_chars (by CHAR_CLASSES) and _qs_common (other words, then each common word), both array<long>.
+def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", fold: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with the counts (long), _qs_lang, and the histograms _qs_chars (by CHAR_CLASSES) and _qs_common (other words, then each common word), both array<long>.
 
-    fold: common words also count in upper case and next to punctuation.
+    fold: common words also count in upper case and next to punctuation. keep: the columns of docs to return, all if None.
     """
-    kept = [c for c in docs.columns if c not in COUNTS]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
     whole = F.coalesce(F.col(text), F.lit(""))
     ws, n, at_least = F.col("_qs_words"), F.size("_qs_words"), F.lit(0)
     matched = F.transform(ws, lambda w: F.trim(F.lower(w), F.lit(PUNCTUATION))) if fold else ws
-    df = docs.select(*kept, words(whole).alias("_qs_words"))
+    df = docs.select(*kept, F.col(lang).alias("_qs_lang"), whole.alias("_qs_text"), words(whole).alias("_qs_words"))
     starts = F.sequence(at_least, F.greatest(n - WINDOW, at_least))
     df = df.withColumns(
         {
             "_qs_all": F.array_join(ws, ""),
-            "_qs_lines": F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+            "_qs_lines": F.filter(F.split("_qs_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
             "_qs_hashes": F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
             "_qs_found": F.filter(matched, lambda w: w.isin(ALL_COMMON)),
         }
@@ -85,9 +86,10 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     df = df.withColumn("_qs_no_point", _without("_qs_no_digit", r".,;:!?'\"()\-"))
     df = df.withColumn("_qs_rest", _without("_qs_no_point", SYMBOLS))
     left = [F.length(c).cast("long") for c in ("_qs_all", "_qs_no_lower", "_qs_no_upper", "_qs_no_digit", "_qs_no_point", "_qs_rest")]
-    counts = F.transform(_common_list(F.col(lang)), lambda w: F.size(F.filter("_qs_found", lambda x: x == w)).cast("long"))
+    counts = F.transform(_common_list(F.col("_qs_lang")), lambda w: F.size(F.filter("_qs_found", lambda x: x == w)).cast("long"))
     return df.select(
         *kept,
+        "_qs_lang",
         n.cast("long").alias("n_words"),
         left[0].alias("word_chars"),
         (left[4] - left[5]).alias("n_symbols"),
@@ -98,20 +100,24 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     )
 
 
-def language_references(features: DataFrame, lang: str = "lang") -> DataFrame:
-    """One row per language: _qs_lang, and _qs_ref_chars and _qs_ref_common, the summed histograms of all its documents."""
+def language_references(features: DataFrame) -> DataFrame:
+    """One row per language: _qs_of, and _qs_ref_chars and _qs_ref_common, the summed histograms of all its documents."""
 
     def total(c: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(n)])
 
-    return features.groupBy(F.col(lang).alias("_qs_lang")).agg(total("_qs_chars", len(CHAR_CLASSES)).alias("_qs_ref_chars"), total("_qs_common", len(ALL_COMMON) + 1).alias("_qs_ref_common"))
+    return features.groupBy(F.col("_qs_lang").alias("_qs_of")).agg(total("_qs_chars", len(CHAR_CLASSES)).alias("_qs_ref_chars"), total("_qs_common", len(ALL_COMMON) + 1).alias("_qs_ref_common"))
 
 
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms; a shorter one is filled up with zeros; null where a sum is zero."""
+def shares(h: Column) -> Column:
+    """A histogram's entries as shares of their sum; nulls where that is zero."""
+    total = F.nullif(F.aggregate(h, F.lit(0).cast("double"), lambda s, y: s + y), F.lit(0.0))
+    # The array of one holds the sum, so that it is taken once and not for each entry.
+    return F.get(F.transform(F.array(total), lambda t: F.transform(h, lambda x: x / t)), F.lit(0))
+
 
-    def share(h: Column) -> Column:
-        return F.transform(h, lambda x: x / F.nullif(F.aggregate(h, F.lit(0).cast("double"), lambda s, y: s + y), F.lit(0.0)))
+def shares_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two lists of shares; a shorter one is filled up with zeros; null where one has none above zero."""
 
     def term(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
@@ -120,28 +126,36 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         x, y = F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))
         return (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2
 
-    distance = F.sqrt(F.greatest(F.aggregate(F.zip_with(share(p), share(q), both), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    distance = F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, both), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
     return F.when(F.exists(p, lambda x: x > 0) & F.exists(q, lambda x: x > 0), distance)
 
 
-def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, max_word_share: float | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def jensen_shannon(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms; null where a sum is zero."""
+    return shares_distance(shares(p), shares(q))
+
+
+def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, max_word_share: float | None = None, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
     """docs with the counts of quality_features, char_distance and word_distance (null under min_words words), base_failed and kept.
 
-    The references are a first pass over all documents, which leaves one row per language; they are
-    broadcast where few and joined by shuffle else. Documents are never shuffled for the former. With
-    max_word_share the limit of word_distance is that share of the distance of a text without common words from
-    the language's reference, and max_word_distance is not used.
+    keep names the columns of docs to return (all if None). Counts and histograms are made in one pass over the texts and
+    written; the references are sums over that table, one row per language, broadcast where few and joined by shuffle
+    else. Documents are never shuffled for the former. With max_word_share the limit of word_distance is that share of the
+    distance of a text without common words from the language's reference, and max_word_distance is not used.
     """
     added = ("char_distance", "word_distance", "base_failed", "kept")
-    features = quality_features(docs.drop(*added), text=text, lang=lang, fold=max_word_share is not None)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    features = table(quality_features(docs, text=text, lang=lang, fold=max_word_share is not None, keep=kept), "quality-features")
     limit = F.lit(max_word_distance) if max_word_share is None else max_word_share * jensen_shannon(F.array(F.lit(1).cast("long")), F.col("_qs_ref_common"))
-    refs = small(table(language_references(features, lang).withColumn("_qs_limit", limit.cast("double")), "references"))
+    refs = language_references(features).withColumn("_qs_limit", limit.cast("double"))
+    refs = small(table(refs.withColumns({c: shares(F.col(c)) for c in ("_qs_ref_chars", "_qs_ref_common")}), "references"))
+    joined = features.join(refs, F.col("_qs_lang").eqNullSafe(F.col("_qs_of")), "left")
+    joined = joined.withColumns({"_qs_chars": shares(F.col("_qs_chars")), "_qs_common": shares(F.col("_qs_common"))})
     judged = F.col("n_words") >= min_words
-    joined = features.join(refs, F.col(lang).eqNullSafe(F.col("_qs_lang")), "left")
     joined = joined.select(
-        *[c for c in features.columns if not c.startswith("_qs_")],
-        F.when(judged, jensen_shannon(F.col("_qs_chars"), F.col("_qs_ref_chars"))).alias("char_distance"),
-        F.when(judged, jensen_shannon(F.col("_qs_common"), F.col("_qs_ref_common"))).alias("word_distance"),
+        *[c for c in features.columns if c in COUNTS or c in kept],
+        F.when(judged, shares_distance(F.col("_qs_chars"), F.col("_qs_ref_chars"))).alias("char_distance"),
+        F.when(judged, shares_distance(F.col("_qs_common"), F.col("_qs_ref_common"))).alias("word_distance"),
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))).alias("base_failed"),
         "_qs_limit",
     )
@@ -150,11 +164,6 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_dist
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The documents that quality_rules keeps, with the columns of docs.
-
-    The row number holds the optimizer back from pushing the verdict below the columns it is made of, which
-    would write each of them out in full wherever it is used.
-    """
-    judged = quality_rules(docs.select(*docs.columns, F.struct(*docs.columns).alias("_doc")), **options)
-    judged = judged.select("_doc", F.col("kept").alias("_qs_kept"), F.monotonically_increasing_id().alias("_qs_row"))
-    return judged.where(F.col("_qs_kept") & (F.col("_qs_row") >= 0)).select("_doc.*")
+    """The documents that quality_rules keeps, with the columns of docs."""
+    whole = docs.select(*docs.columns, F.struct(*docs.columns).alias("_qs_doc"))
+    return quality_rules(whole, keep=["_qs_doc"], **options).where("kept").select("_qs_doc.*")
