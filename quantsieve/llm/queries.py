@@ -73,14 +73,15 @@ FROM judged GROUP BY doc_id
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules.quality_rules(docs).drop("text", "lang", "char_distance", "word_distance")
+    judged = quality_rules.quality_rules(read(spark, sf_dir, "documents"), max_word_share=0.7, keep=["doc_id"])
+    return judged.drop("char_distance", "word_distance")
 
 
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+_MARKS = quality_rules.PUNCTUATION.replace("'", "''")
 _LISTS = " ".join(f"WHEN '{code}' THEN {_list(ws)}" for code, ws in quality_rules.COMMON_WORDS.items())
 ORACLES["op9_quality_rules"] = (
     r"""
@@ -106,7 +107,10 @@ WITH split AS (
 ), stripped5 AS (SELECT *, regexp_replace(c4, '[#*$%&|<>]+', '', 'g') AS c5 FROM stripped4
 ), counted AS (
   SELECT *, [length(c0) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)] AS chars,
-         list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c))) AS found FROM stripped5
+         list_transform(common, lambda c: len(list_filter(folded, lambda x: x = c))) AS found
+  FROM (SELECT *, list_transform(ws, lambda w: trim(lower(w), '"""
+    + _MARKS
+    + r"""')) AS folded FROM stripped5)
 ), histograms AS (
   SELECT doc_id, lang, 'chars' AS kind, unnest(range(1, 7)) AS pos, unnest(chars) AS v FROM counted
   UNION ALL
@@ -114,12 +118,17 @@ WITH split AS (
 ), refs AS (
   SELECT lang, kind, pos, sum(v) AS v FROM histograms GROUP BY ALL
 ), shares AS (
-  SELECT h.doc_id, h.kind, h.v / nullif(sum(h.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS p, r.v / nullif(sum(r.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS q
+  SELECT h.doc_id, h.lang, h.kind, h.v / nullif(sum(h.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS p, r.v / nullif(sum(r.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS q
   FROM histograms h JOIN refs r ON h.lang IS NOT DISTINCT FROM r.lang AND h.kind = r.kind AND h.pos = r.pos
 ), distances AS (
-  SELECT doc_id, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS far FROM shares GROUP BY ALL
+  SELECT doc_id, lang, kind, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS far FROM shares GROUP BY ALL
+), empty AS (
+  SELECT lang, (pos = 0)::INT::DOUBLE AS p, v / nullif(sum(v) OVER (PARTITION BY lang), 0) AS q FROM refs WHERE kind = 'words'
+), word_limits AS (
+  SELECT lang, 0.7 * sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS most FROM empty GROUP BY lang
 ), limits AS (
-  SELECT doc_id, coalesce(bool_or(far > CASE kind WHEN 'chars' THEN 0.3 ELSE 0.5 END), FALSE) AS far FROM distances GROUP BY doc_id
+  SELECT doc_id, coalesce(bool_or(far > CASE kind WHEN 'chars' THEN 0.3 ELSE most END), FALSE) AS far
+  FROM distances d LEFT JOIN word_limits w ON d.lang IS NOT DISTINCT FROM w.lang GROUP BY doc_id
 ), rules AS (
   SELECT doc_id, len(ws) AS n_words, length(c0) AS word_chars, length(c4) - length(c5) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
   FROM counted LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)
