@@ -38,16 +38,18 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, *, doc_i
     def long_key(line: Column) -> Column:
         return F.when(F.length(line) >= min_chars, F.when(F.length(line_key(line)) >= min_chars, key_hash(line_key(line))))
 
-    # A document's own repeats are put together before anything is shuffled.
-    keys = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_qs_id"), F.explode(F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), long_key))).alias("_qs_key")).where("_qs_key is not null")
-    keys = table(keys.distinct(), "line-keys")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(whole, "\n")
+    # Rows of one id are told apart by their texts: a place is one in a text.
+    places = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_qs_id"), F.xxhash64(whole).alias("_qs_text"), F.posexplode(F.transform(lines, long_key)).alias("_qs_place", "_qs_key"))
+    places = table(places.where("_qs_key is not null"), "line-places")
     # A table of its own, so that the join below has a shuffle on either side and a common line's rows can be split.
-    common = keys.groupBy("_qs_key").agg(F.count(F.lit(1)).alias("_qs_n"), F.max("_qs_id").alias("_qs_keeper")).where(F.col("_qs_n") >= min_docs)
+    common = places.select("_qs_id", "_qs_key").distinct().groupBy("_qs_key").agg(F.count(F.lit(1)).alias("_qs_n"), F.max("_qs_id").alias("_qs_keeper")).where(F.col("_qs_n") >= min_docs)
     common = table(common.select("_qs_key", "_qs_keeper"), "common-lines")
-    goes = keys.join(common, "_qs_key").where("_qs_id <> _qs_keeper").groupBy("_qs_id").agg(F.collect_set("_qs_key").alias("_qs_goes"))
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: F.struct(line.alias("line"), F.when(F.col("_qs_goes").isNotNull(), long_key(line)).alias("key")))
-    joined = docs.join(goes, F.col(doc_id) == F.col("_qs_id"), "left").withColumn("_qs_lines", lines)
-    stays = F.filter("_qs_lines", lambda x: F.col("_qs_goes").isNull() | x["key"].isNull() | ~F.array_contains("_qs_goes", x["key"]))
-    joined = joined.withColumn("_qs_stays", stays)
-    added = {text: F.array_join(F.transform("_qs_stays", lambda x: x["line"]), "\n"), "n_lines": F.size("_qs_lines").cast("long"), "n_dropped": (F.size("_qs_lines") - F.size("_qs_stays")).cast("long")}
+    goes = places.join(common, "_qs_key").where("_qs_id <> _qs_keeper").groupBy("_qs_id", "_qs_text").agg(F.collect_set("_qs_place").alias("_qs_goes"))
+    joined = docs.withColumn("_qs_whole", whole).join(goes, (F.col(doc_id) == F.col("_qs_id")) & (F.xxhash64("_qs_whole") == F.col("_qs_text")), "left").withColumn("_qs_lines", F.split("_qs_whole", "\n"))
+    n, dropped = F.size("_qs_lines"), F.coalesce(F.size("_qs_goes"), F.lit(0))
+    stays = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_qs_goes"))  # by a hash set, in order
+    kept = F.array_join(F.transform(stays, lambda i: F.get("_qs_lines", i)), "\n")
+    added = {text: F.when(F.col("_qs_goes").isNull(), F.col("_qs_whole")).otherwise(kept), "n_lines": n.cast("long"), "n_dropped": dropped.cast("long")}
     return joined.select(*[added[c].alias(c) if c in added else F.col(c) for c in docs.columns], *[added[c].alias(c) for c in added if c not in docs.columns])
