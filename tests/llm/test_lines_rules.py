@@ -86,6 +86,22 @@ def test_rules_null_language_and_empty(docs_of):
     assert "Python" not in quality_rules.quality_rules(docs)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rules_keep_columns_and_null_ids(docs_of):
+    """keep names the columns returned; rows without an id, and repeated rows, are judged like any other."""
+    docs = docs_of([LONG, LONG, LONG, None], ids=[None, 1, 1, None], _qs_of="x", kept="old")
+    got = quality_rules.quality_rules(docs, max_word_share=0.7, keep=["doc_id"])
+    assert got.columns == ["doc_id", "n_words", *quality_rules.COUNTS[1:], "char_distance", "word_distance", "base_failed", "kept"]
+    assert sorted(((r["doc_id"], r["n_words"]) for r in got.collect()), key=str) == [(1, 30_000), (1, 30_000), (None, 0), (None, 30_000)]
+    assert quality_rules.quality_filter(docs.drop("_qs_of")).columns == docs.drop("_qs_of").columns
+
+
+def test_lines_of_one_id_with_different_texts(docs_of):
+    """Places are told apart by text: a line dropped from one text leaves another text of that id its own lines."""
+    texts = [f"{LINE}\nfirst", f"second\n{LINE}", f"{LINE}\nfirst", *[LINE] * 5]
+    got = line_dedup.line_dedup(docs_of(texts, ids=[0, 0, 0, 1, 2, 3, 4, 5])).where("doc_id = 0")
+    assert sorted((r["text"], r["n_dropped"]) for r in got.collect()) == [("first", 1), ("first", 1), ("second", 1)]
+
+
 def test_word_share_rejects_texts_without_common_words(spark, docs_of):
     """Words of the same letters throughout, so that only the common words tell the menu from the prose."""
     pipeline = pytest.importorskip("corpus_pipeline", reason="the pipeline has been removed")
