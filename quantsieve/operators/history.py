@@ -33,6 +33,6 @@ def backtest(panel: DataFrame, value: str, tiles: int = 10, as_of: str = "as_of"
 
 
 def dedupe_latest(df: DataFrame, key: str = "ticker", order: str = "_row_id") -> DataFrame:
-    """The last row of each key (opt-in: uploads keep repeated tickers)."""
+    """The last row of each key (opt-in: uploads keep repeated tickers); rows without a key count as one."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("_last", F.row_number().over(w)).where("_last = 1").drop("_last")

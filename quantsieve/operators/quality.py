@@ -48,3 +48,15 @@ def outliers(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), re
     fences = q.select(*group, (F.col("q")[0] - reach * width).alias("low"), (F.col("q")[1] + reach * width).alias("high"))
     outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
     return long.join(fences, group).groupBy(*group, "low", "high").agg(F.count_if(outside).alias("n_outliers"))
+
+
+def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """finding, subject, before, after: columns added, lost or of another type since the snapshot before, and the column counts where those differ.
+
+    It looks at the schemas alone and reads no rows.
+    """
+    old, new = dict(before.dtypes), dict(after.dtypes)
+    rows = [("added" if c not in old else "lost" if c not in new else "type", c, old.get(c), new.get(c)) for c in dict.fromkeys([*old, *new]) if old.get(c) != new.get(c)]
+    if len(old) != len(new):
+        rows.append(("column_count", "universe", str(len(old)), str(len(new))))
+    return after.sparkSession.createDataFrame(rows, "finding string, subject string, before string, after string")
