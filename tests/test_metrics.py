@@ -5,14 +5,13 @@ from pyspark.sql import functions as F
 
 from quantsieve.functions.metrics import METRICS, with_metrics
 from quantsieve.functions.numeric import parse_number
-from tests.fixture_rows import BASIC, GOLDEN
+from tests.fixture_rows import COMPANIES, GOLDEN, STEADY
 
 
 @pytest.fixture(scope="module")
 def computed(spark):
-    n = 5
-    raw = [(i, *[None if BASIC[c][i] is None else float(BASIC[c][i]) for c in BASIC]) for i in range(n)]
-    df = spark.createDataFrame(raw, "_row_id long, " + ", ".join(f"{c} double" for c in BASIC))
+    raw = [(i, *company.values()) for i, company in enumerate(COMPANIES)]
+    df = spark.createDataFrame(raw, "_row_id long, " + ", ".join(f"{c} double" for c in STEADY))
     return [r.asDict() for r in with_metrics(df).orderBy("_row_id").collect()]
 
 
@@ -27,14 +26,14 @@ def test_golden(computed, name):
 
 
 def test_all_missing(spark):
-    df = spark.createDataFrame([(i, *[None] * len(BASIC)) for i in range(3)], "_row_id long, " + ", ".join(f"{c} double" for c in BASIC))
+    df = spark.createDataFrame([(i, *[None] * len(STEADY)) for i in range(3)], "_row_id long, " + ", ".join(f"{c} double" for c in STEADY))
     for r in with_metrics(df).select(*METRICS).collect():
         assert all(v is None for v in r)
 
 
 def test_infinity_never_becomes_nan(spark):
     df = spark.createDataFrame([(float("inf"), float("inf"))], "fcf_yield double, fcf_yield_3yr_avg double")
-    for c in BASIC:
+    for c in STEADY:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
     assert with_metrics(df).first()["fcf_yield_diff"] is None
