@@ -18,11 +18,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantsieve.llm._shared import small, table
+from quantsieve.llm._shared import BROADCAST_ROWS, small, table
 from quantsieve.llm.quality_rules import CHAR_CLASSES, quality_features
 
 #: Bounds of a prior's strength, in documents.
 STRENGTH = (1.0, 10_000.0)
+#: Parts that a site's documents are dealt to where sites are too many to send to every task.
+SALTS = 16
 
 
 def url_levels(url: Column) -> tuple[Column, Column]:
@@ -91,6 +93,17 @@ def _strength(sites: DataFrame, mean: Column) -> float:
     return float(np.clip(row["b"] / row["v"] - 1, *STRENGTH))
 
 
+def _with_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    """scored with the row of its (host, path): few sites go to every task; else each is sent to SALTS parts of its documents, so that no site is one task's."""
+    named = sites.withColumnsRenamed({"host": "_qs_host", "path": "_qs_path"})
+    same = F.col("host").eqNullSafe(F.col("_qs_host")) & F.col("path").eqNullSafe(F.col("_qs_path"))
+    if sites.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return scored.join(F.broadcast(named), same)
+    dealt = scored.withColumn("_qs_part", F.pmod(F.xxhash64("doc_id", "p"), F.lit(SALTS)).cast("int"))
+    sent = named.withColumn("_qs_to", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(sent.hint("merge"), same & (F.col("_qs_part") == F.col("_qs_to")))
+
+
 def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, max_train: int = 20_000, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality") -> DataFrame:
     """doc_id, host, path, doc_score, host_score, path_score, quality_score, kept of every row."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), host.cast("string").alias("host"), path.cast("string").alias("path"))
@@ -107,8 +120,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     hosts = hosts.select(F.col("host").alias("_qs_host"), host_score.alias("host_score"))
     sites = table(paths.join(small(table(hosts, "hosts")), F.col("host").eqNullSafe(F.col("_qs_host"))).drop("_qs_host"), "sites")
     k_path = _strength(sites, F.col("host_score"))
-    sites = small(sites.select(F.col("host").alias("_qs_host"), F.col("path").alias("_qs_path"), "n", "s", "host_score"))
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("_qs_host")) & F.col("path").eqNullSafe(F.col("_qs_path")))
+    joined = _with_sites(scored, sites.select("host", "path", "n", "s", "host_score"))
     others = (F.col("s") - F.col("p") + k_path * F.col("host_score")) / (F.col("n") - 1 + k_path)
     logit = lambda p: F.log(p / (1 - p))
     z = logit(F.col("p")) + logit(F.greatest(F.least(F.col("path_score"), F.lit(0.999)), F.lit(0.001))) - float(np.log(mean / (1 - mean)))

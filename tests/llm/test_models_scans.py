@@ -279,6 +279,59 @@ def test_site_quality(spark, docs_of):
     assert site_quality.site_quality(docs_of(["a b"]), none, F.col("source"), F.col("lang")).count() == 1
 
 
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_site_quality_against_brute_force(spark, docs_of, monkeypatch, few):
+    """Posteriors and scores worked out in plain loops from the documents' own probabilities; the same with sites broadcast and dealt out."""
+    monkeypatch.setattr(site_quality, "BROADCAST_ROWS", few)
+    rng = np.random.default_rng(5)
+    n = 150
+    texts = [" ".join(f"w{rng.integers(0, 90)}{'#' * (i % 7 == int(rng.integers(0, 3)))}" for _ in range(60)) for i in range(n)]
+    ids = [*range(n - 6), 3, 3, None, None, 5, 7]
+    docs = docs_of(texts, ids, host="x", path="y", p=0.5, x=1)
+    site = F.when(F.length("text") % 11 > 0, F.concat(F.lit("h"), (F.length("text") % 5).cast("string")))
+    sub = F.when(F.length("text") % 3 > 0, (F.length("text") % 3).cast("string"))
+    labels = spark.createDataFrame([(i, int(texts[i].count("#") < 8)) for i in range(0, n - 6, 2)] + [(0, 0), (0, 1), (None, 1)], "doc_id long, quality int")
+    got = site_quality.site_quality(docs, labels, site, sub).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, ids))
+
+    def sums(key):
+        out = {}
+        for r in got:
+            out.setdefault(key(r), []).append(r["doc_score"])
+        return out
+
+    def strength(groups, above):
+        v = b = total = 0.0
+        for key, ps in groups.items():
+            if len(ps) > 1:
+                m, mu = sum(ps) / len(ps), above(key)
+                noise = (sum(p * p for p in ps) / len(ps) - m * m) / (len(ps) - 1)
+                v, b, total = v + len(ps) * ((m - mu) ** 2 - noise), b + len(ps) * mu * (1 - mu), total + len(ps)
+        return site_quality.STRENGTH[1] if not total or v <= 0 else min(max(b / v - 1, site_quality.STRENGTH[0]), site_quality.STRENGTH[1])
+
+    mean = sum(r["doc_score"] for r in got) / len(got)
+    hosts, paths = sums(lambda r: r["host"]), sums(lambda r: (r["host"], r["path"]))
+    k_host = strength(hosts, lambda _: mean)
+    above = {h: (sum(ps) + k_host * mean) / (len(ps) + k_host) for h, ps in hosts.items()}
+    k_path = strength(paths, lambda key: above[key[0]])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in got:
+        ps = paths[r["host"], r["path"]]
+        others = (sum(ps) - r["doc_score"] + k_path * above[r["host"]]) / (len(ps) - 1 + k_path)
+        z = logit(r["doc_score"]) + logit(min(max(others, 0.001), 0.999)) - logit(mean)
+        assert (r["host_score"], r["path_score"], r["quality_score"]) == pytest.approx((above[r["host"]], others, 1 / (1 + np.exp(-z))), abs=1e-9)
+        assert r["kept"] == (r["quality_score"] >= 0.5)
+    assert {r["host"] for r in got} > {None} and {r["path"] for r in got} > {None}
+
+
+def test_odd_rows_of_scans(docs_of, bench):
+    """Null and repeated ids, and repeated texts, are rows like any other."""
+    rows = license_scan.scan(docs_of(["mit license", "mit license", None], [None, 4, 4])).collect()
+    assert sorted((str(r["doc_id"]), r["n_base"]) for r in rows) == [("4", 0), ("4", 1), ("None", 1)]
+    found = decontaminate.contaminated(docs_of([ITEM, SAME, ITEM, "clean"], [6, 6, None, 6]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(6, 1)}
+
+
 def test_url_levels(spark):
     host, path = site_quality.url_levels(F.col("u"))
     df = spark.createDataFrame([("http://www.A.com:80/fr/8?p=2",), ("https://m.b.net/en/25#top",), (None,), ("x",)], "u string").select(host.alias("h"), path.alias("p"))
