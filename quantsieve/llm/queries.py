@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, site_quality, token_files, toxicity
+from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, site_quality, token_counts, token_files, toxicity
 from quantsieve.llm._shared import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
