@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, site_quality, token_counts, token_files, toxicity
+from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, merkle, near_dedup, packing, quality_rules, site_quality, token_counts, token_files, toxicity
 from quantsieve.llm._shared import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered={"text": found})
+
+
+def _hashed(text: str) -> str:
+    fields = {"doc_id": "doc_id::VARCHAR", "source": "source", "lang": "lang", "n_chars": "n_chars::VARCHAR", "text": text}
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in fields.values()) + ")"
+
+
+_LATE = "CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+# DuckDB has no crc32: the reflected polynomial, bit by bit, over the digits of the id.
+_CRC = "(SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)))"
+
+
+def _nodes(leaves: str, key: str) -> str:
+    return f"""SELECT {key}, 0 AS level, pos, digest, n FROM {leaves}
+  UNION ALL
+  SELECT {key}, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM {leaves}_nodes WHERE n > 1 GROUP BY {key}, level, pos // 3, n"""
+
+
+def _fold(start: str, nodes: str, key: str) -> str:
+    return f"""SELECT doc_id, {key}, 0 AS level, pos, n, digest, proof FROM {start}
+  UNION ALL
+  SELECT f.doc_id, f.{key}, f.level + 1, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN m.pos = f.pos THEN f.digest ELSE m.digest END, '' ORDER BY m.pos)), f.proof || coalesce(string_agg(m.digest, '' ORDER BY m.pos) FILTER (m.pos <> f.pos), '')
+  FROM {start}_fold f JOIN {nodes} m ON m.{key} IS NOT DISTINCT FROM f.{key} AND m.level = f.level AND m.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.doc_id, f.{key}, f.level, f.pos, f.n, f.proof"""
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS (SELECT *, xor({_CRC}, 4294967295::BIGINT) AS crc FROM documents
+), leaves AS MATERIALIZED (
+  SELECT doc_id, source, {_hashed("text")} AS digest, {_hashed(_LATE)} AS late, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM docs
+), leaves_nodes AS ({_nodes("leaves", "source")}
+), tops AS MATERIALIZED (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, 0 AS one FROM leaves_nodes WHERE n = 1
+), tops_nodes AS ({_nodes("tops", "one")}
+), start AS (SELECT doc_id, source, pos, n, late AS digest, '' AS proof FROM leaves
+), start_fold AS ({_fold("start", "leaves_nodes", "source")}
+), mid AS (SELECT f.doc_id, t.one, t.pos, t.n, f.digest, f.proof FROM start_fold f JOIN tops t ON f.source IS NOT DISTINCT FROM t.source WHERE f.n = 1
+), mid_fold AS ({_fold("mid", "tops_nodes", "one")}
+)
+SELECT doc_id, l.digest AS leaf, t.digest AS subroot, r.digest AS root, sha256(m.proof) AS proof_sha256, m.digest AS folded_root, m.digest = r.digest AS verified
+FROM leaves l JOIN mid_fold m USING (doc_id) JOIN tops t ON l.source IS NOT DISTINCT FROM t.source, tops_nodes r WHERE m.n = 1 AND r.n = 1
+"""
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
