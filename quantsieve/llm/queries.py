@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantsieve.llm import chat_format, decontaminate, license_scan, line_dedup, merkle, near_dedup, packing, quality_rules, site_quality, token_counts, token_files, toxicity
+from quantsieve.llm import chat_format, decontaminate, lexical_search, license_scan, line_dedup, merkle, near_dedup, packing, quality_rules, site_quality, token_counts, token_files, toxicity
 from quantsieve.llm._shared import with_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def _terms(name: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({name}.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+ORACLES["op11_lexical_search"] = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, {_terms("documents")} AS ts FROM documents
+), asked AS (SELECT item_id, unnest({_terms("benchmark")}) AS term FROM benchmark
+), tfs AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM docs) GROUP BY ALL
+), whole AS (SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS n, sum(len(ts))::BIGINT AS l FROM docs
+), weighted AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole
+), factors AS (SELECT doc_id, 100 - 25 + (25 * len(ts)::BIGINT * n) // l AS m FROM docs, whole
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM asked JOIN tfs USING (term) JOIN weighted USING (term) JOIN factors USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
