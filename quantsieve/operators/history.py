@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantsieve.operators.positions import positions, tile
 from quantsieve.sources.schema import FACTOR_NAMES
 
 
@@ -28,8 +29,8 @@ def backtest(panel: DataFrame, value: str, tiles: int = 10, as_of: str = "as_of"
     """as_of, decile (1: lowest composite), n, mean_return: the growth of ``value`` until the next snapshot."""
     after = F.lead(value).over(Window.partitionBy(key).orderBy(as_of))
     rows = panel.select(as_of, key, "overall_score", (after / F.nullif(F.col(value), F.lit(0.0)) - 1).alias("r")).where("r is not null")
-    tile = F.ntile(tiles).over(Window.partitionBy(as_of).orderBy("overall_score", key))
-    return rows.withColumn("decile", tile).groupBy(as_of, "decile").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("r").cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))).alias("mean_return"))
+    placed = positions(rows, ["overall_score", key], [as_of])
+    return placed.withColumn("decile", tile(F.col("pos"), F.col("n"), tiles)).groupBy(as_of, "decile").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("r").cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))).alias("mean_return"))
 
 
 def dedupe_latest(df: DataFrame, key: str = "ticker", order: str = "_row_id") -> DataFrame:

@@ -16,9 +16,10 @@ from quantsieve.sources.schema import CATEGORIES, CATEGORY_OF, FACTOR_NAMES, INV
 MAX_SCENARIOS = 10_000
 
 
-def factor_scores(df: DataFrame, config: dict | None = None, *, factors: Sequence[str] = FACTOR_NAMES, row_id: str = "_row_id", universe_keys: Sequence[str] = (), strategy: str | None = None) -> DataFrame:
+def factor_scores(df: DataFrame, config: dict | None = None, *, factors: Sequence[str] = FACTOR_NAMES, **options) -> DataFrame:
+    """df with the scores of factors; options (row_id, universe_keys, keep, ...) are those of ``rank_factors``."""
     config = check_config(config or default_config())
-    return rank_factors(df, {f: METRIC_OF[f] for f in factors}, INVERTED, config["defaults"], row_id=row_id, universe_keys=universe_keys, strategy=strategy)
+    return rank_factors(df, {f: METRIC_OF[f] for f in factors}, INVERTED, config["defaults"], **options)
 
 
 def composite(weights: dict[str, float] | dict[str, Column]) -> Column:
@@ -30,10 +31,10 @@ def mscore_flag(threshold: float = -2.22) -> Column:
     return F.coalesce(F.col("mscore") > F.lit(float(threshold)), F.lit(False))
 
 
-def scored_universe(metrics: DataFrame, config: dict | None = None, **options) -> DataFrame:
-    """metrics with 24 factor scores, overall_score and mscore_flag."""
+def scored_universe(metrics: DataFrame, config: dict | None = None, *, keep: Sequence[str] | None = None, **options) -> DataFrame:
+    """metrics (its columns of ``keep`` if given) with 24 factor scores, overall_score and mscore_flag."""
     config = check_config(config or default_config())
-    scored = factor_scores(metrics, config, **options)
+    scored = factor_scores(metrics, config, keep=None if keep is None else [*keep, "mscore"], **options)
     return scored.withColumns({"overall_score": composite(config["weights"]), "mscore_flag": mscore_flag(config["mscore_threshold"])})
 
 

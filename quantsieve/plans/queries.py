@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +36,10 @@ def measured(spark: SparkSession, sf_dir: str, day: str = "2001-08-01") -> DataF
     return with_metrics(read_companies(spark, sf_dir, day))
 
 
-def scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return scoring.scored_universe(measured(spark, sf_dir), **options)
+def scored(spark: SparkSession, sf_dir: str, keep: Sequence[str] = DISPLAY, **options) -> DataFrame:
+    """The scored universe with its columns of keep."""
+    metrics = measured(spark, sf_dir)
+    return scoring.scored_universe(metrics, keep=[c for c in keep if c in metrics.columns], **options)
 
 
 # --- metrics -------------------------------------------------------------------------------------------
@@ -64,7 +66,7 @@ def transform_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _factor(name: str, metric: str, inverted: bool, default: float) -> None:
     @register(f"factor_{name.removesuffix('_factor')}_factor", f"SELECT _row_id, ticker, {o.rank(metric, inverted, default)} AS {name} FROM ({o.metrics()})")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return scoring.factor_scores(measured(spark, sf_dir), factors=[name]).select("_row_id", "ticker", name)
+        return scoring.factor_scores(measured(spark, sf_dir), factors=[name], keep=["ticker"]).select("_row_id", "ticker", name)
 
 
 for _f in FACTORS:
@@ -94,18 +96,18 @@ def rank_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("percentrank_inc", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT _row_id, factor, v, CASE WHEN count(*) OVER (PARTITION BY factor) = 1 THEN CAST(1 AS DOUBLE) ELSE (rank() OVER (PARTITION BY factor ORDER BY v) - 1) / CAST(count(*) OVER (PARTITION BY factor) - 1 AS DOUBLE) END AS p FROM (" + " UNION ALL ".join(f"SELECT _row_id, '{f[0]}' AS factor, {f[1]} AS v FROM m WHERE {f[1]} IS NOT NULL" for f in FACTORS) + ")")
 def percentrank_inc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for one large universe: value buckets."""
-    long = ranking.unpivot(measured(spark, sf_dir), ["_row_id"], {f[0]: f[1] for f in FACTORS})
-    return ranking.rank_long(long, strategy="buckets")
+    rows = tables.staged(measured(spark, sf_dir).select("_row_id", *dict.fromkeys(f[1] for f in FACTORS)), "metrics")
+    return ranking.rank_table(rows, {f[0]: f[1] for f in FACTORS}, "_row_id", large=0)
 
 
 @register("factor_scores", f"SELECT _row_id, ticker, {', '.join(FACTOR_NAMES)} FROM ({o.scored()})")
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.factor_scores(measured(spark, sf_dir)).select("_row_id", "ticker", *FACTOR_NAMES)
+    return scoring.factor_scores(measured(spark, sf_dir), keep=["ticker"])
 
 
 @register("overall_score", f"SELECT _row_id, ticker, overall_score FROM ({o.scored()})")
 def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("_row_id", "ticker", "overall_score")
+    return scored(spark, sf_dir, ["ticker"]).select("_row_id", "ticker", "overall_score")
 
 
 @register("mscore_flag", f"SELECT _row_id, ticker, mscore, coalesce(mscore > CAST(-2.22 AS DOUBLE), FALSE) AS mscore_flag FROM ({o.metrics()})")
@@ -115,7 +117,7 @@ def mscore_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("scored_universe", f"SELECT _row_id, {', '.join([*HEADERS.values(), *METRICS, *FACTOR_NAMES])}, overall_score, mscore_flag FROM ({o.scored()})")
 def scored_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("_row_id", *HEADERS.values(), *METRICS, *FACTOR_NAMES, "overall_score", "mscore_flag")
+    return scored(spark, sf_dir, [*HEADERS.values(), *METRICS]).select("_row_id", *HEADERS.values(), *METRICS, *FACTOR_NAMES, "overall_score", "mscore_flag")
 
 
 SCENARIOS = {name: {f: w * (2.0 if CATEGORY_OF[f] == name else 0.5) for f, w in default_config()["weights"].items()} for name in CATEGORIES}
@@ -148,7 +150,7 @@ def _first(category: str) -> str:
 
 @register("sector_relative_scores", f"SELECT _row_id, ticker, sector, {', '.join(FACTOR_NAMES)}, overall_score FROM ({o.scored(keys='sector')})")
 def sector_relative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, universe_keys=["sector"]).select("_row_id", "ticker", "sector", *FACTOR_NAMES, "overall_score")
+    return scored(spark, sf_dir, ["ticker"], universe_keys=["sector"]).select("_row_id", "ticker", "sector", *FACTOR_NAMES, "overall_score")
 
 
 # --- screen --------------------------------------------------------------------------------------------
@@ -195,7 +197,7 @@ def screen_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("screen_bounds", f"SELECT min(market_cap) AS min_market_cap, max(market_cap) AS max_market_cap, min(overall_score) AS min_overall_score, max(overall_score) AS max_overall_score FROM ({o.scored()})")
 def screen_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.bounds(scored(spark, sf_dir))
+    return screen.bounds(scored(spark, sf_dir, ["market_cap"]))
 
 
 @register("screen_facets_sector", "SELECT DISTINCT p_type AS sector FROM part WHERE p_type IS NOT NULL")
@@ -234,12 +236,12 @@ def drill_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("drill_chart_rows", f"WITH sc AS MATERIALIZED ({o.scored()}) SELECT * FROM ({o.facts('SELECT * FROM sc', 'ticker')}) WHERE score IS NOT NULL")
 def drill_chart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.chart_rows(scored(spark, sf_dir))
+    return screen.chart_rows(scored(spark, sf_dir, ["ticker"]))
 
 
 @register("drill_report", f"WITH sc AS MATERIALIZED ({o.scored()}) " + "SELECT ticker, category, factor_label, category_ordinal, factor_ordinal, coalesce('$' || format('{:,.0f}', round_even(market_cap, 0)), 'N/A') AS market_cap_text, CASE WHEN mscore IS NULL THEN 'N/A' ELSE printf('%.2f', round(mscore, 2)) END AS mscore_text, CASE WHEN score IS NULL THEN 'N/A' ELSE printf('%.3f', round(score, 3)) END AS score_text FROM (" + o.facts("SELECT * FROM sc", "ticker, market_cap, mscore") + ")")
 def drill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.report(scored(spark, sf_dir))
+    return screen.report(scored(spark, sf_dir, ["ticker", "market_cap"]))
 
 
 # --- ingest --------------------------------------------------------------------------------------------
@@ -379,8 +381,7 @@ def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df as a stage's table: the two sides of a comparison are both made of it, and read it instead of scoring again."""
-    tables.save(df, path := new_path(spark, "scored"))
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.staged(df, "scored")
 
 
 def reference(df: DataFrame) -> DataFrame:
@@ -445,7 +446,7 @@ def parity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = read_panel(spark, sf_dir, o.PANEL).withColumn("_row_id", F.concat_ws("@", "as_of", "_row_id"))
-    return scoring.scored_universe(with_metrics(panel), universe_keys=["as_of"])
+    return scoring.scored_universe(with_metrics(panel), universe_keys=["as_of"], keep=["ticker", "market_cap", "revenues_ttm"])
 
 
 _PANEL = o.panel("ticker, market_cap, revenues_ttm, overall_score, " + ", ".join(FACTOR_NAMES))
