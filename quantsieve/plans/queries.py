@@ -14,6 +14,7 @@ from quantsieve.sources import tables, uploads
 from quantsieve.sources.schema import CATEGORIES, CATEGORY_OF, DISPLAY, FACTOR_NAMES, FACTORS, HEADERS, IDENTITY, default_config
 from quantsieve.sources.shared import new_path
 from quantsieve.sources.universe import read_companies, read_panel
+from quantsieve.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,7 +198,8 @@ def screen_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("screen_bounds", f"SELECT min(market_cap) AS min_market_cap, max(market_cap) AS max_market_cap, min(overall_score) AS min_overall_score, max(overall_score) AS max_overall_score FROM ({o.scored()})")
 def screen_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.bounds(scored(spark, sf_dir, ["market_cap"]))
+    """Observed as the scored stage is written."""
+    return quality.save_profiled(scored(spark, sf_dir, ["market_cap"]), new_path(spark, "scored")).bounds_table(spark)
 
 
 @register("screen_facets_sector", "SELECT DISTINCT p_type AS sector FROM part WHERE p_type IS NOT NULL")
@@ -262,17 +264,19 @@ def _messy(df: DataFrame, columns: list[str]) -> DataFrame:
     return told.select(*[(F.col(c) if c in IDENTITY else F.get("_texts", F.lit(numbers.index(c)))).alias(header.get(c, c)) for c in columns])
 
 
+def _send(df: DataFrame, columns: list[str], path: str) -> str:
+    """df as one upload."""
+    part = df.withColumn("extra_note", F.concat(F.lit("note "), F.col("_row_id")))
+    _messy(part, columns).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 def _upload(spark: SparkSession, sf_dir: str) -> list[str]:
     """The universe as two uploads with different orders of columns, the second with one column more; their folders."""
     df = read_companies(spark, sf_dir)
     columns = list(HEADERS.values())
     halves = ((F.col("_row_id") % 3 > 0, columns), (F.col("_row_id") % 3 == 0, [*columns[::-1], "extra_note"]))
-    folders = []
-    for keep, order in halves:
-        part = df.where(keep).withColumn("extra_note", F.concat(F.lit("note "), F.col("_row_id")))
-        _messy(part, order).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path := new_path(spark, "upload"))
-        folders.append(path)
-    return folders
+    return [_send(df.where(keep), order, new_path(spark, "upload")) for keep, order in halves]
 
 
 def _clean_raw(names: list[str]) -> str:
@@ -310,6 +314,37 @@ def ingest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return united
 
 
+_LACKING = ["cfo", "ps_3yr_avg"]
+_VENDOR = {v: k for k, v in HEADERS.items()}
+
+
+@register("ingest_missing_columns", " UNION ALL ".join(f"SELECT 'second' AS upload, '{_VENDOR[c]}' AS missing_column, count(*) AS n_rows FROM part WHERE p_partkey % 3 = 1" for c in _LACKING))
+def ingest_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that each of three uploads lacks, and the rows that this sets apart."""
+    df, folder = read_companies(spark, sf_dir), new_path(spark, "uploads")
+    columns = list(HEADERS.values())
+    orders = {"first": columns, "second": [c for c in columns if c not in _LACKING], "third": columns[::-1]}
+    sent = [_send(df.where(F.col("_row_id") % 3 == i), order, f"{folder}/{name}") for i, (name, order) in enumerate(orders.items())]
+    found = uploads.missing_report(spark, uploads.list_uploads(spark, *sent))
+    upload = F.element_at(F.split("file", "/"), -2)  # one upload is a folder of part files, each with a header
+    return found.groupBy(upload.alias("upload"), "missing_column").agg(F.sum(F.col("n_lines") - 1).alias("n_rows"))
+
+
+@register("refresh_uploads", f"SELECT 'score' AS kind, '2001-08-01' AS as_of, ticker AS subject, overall_score AS value FROM ({o.scored()}) UNION ALL " + " UNION ALL ".join(f"SELECT 'missing_column', '2001-02-01', '{_VENDOR[c]}', NULL" for c in _LACKING))
+def refresh_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two waves of uploads, one bad, taken up as they come: the snapshot's scores after the second, and what was set apart."""
+    df, folder = read_companies(spark, sf_dir), new_path(spark, "refresh")
+    columns = list(HEADERS.values())
+    third, bad = F.col("_row_id") % 3 == 0, [c for c in columns if c not in _LACKING]
+    for wave in ([("2001-08-01-first", ~third, columns), ("2001-02-01-bad", F.lit(True), bad)], [("2001-08-01-second", third, columns[::-1])]):
+        for name, keep, order in wave:
+            _send(df.where(keep), order, f"{folder}/incoming/{name}")
+        refresh.refresh_uploads(spark, *(f"{folder}/{x}" for x in ("incoming", "raw", "scored", "quarantine", "checkpoint"))).awaitTermination()
+    scores = tables.load(spark, f"{folder}/scored").select(F.lit("score").alias("kind"), F.col("as_of").cast("string"), F.col("ticker").alias("subject"), F.col("overall_score").alias("value"))
+    apart = tables.load(spark, f"{folder}/quarantine").select(F.col("finding").alias("kind"), F.regexp_extract("file", refresh.SNAPSHOT, 1).alias("as_of"), "subject", F.lit(None).cast("double").alias("value")).distinct()
+    return scores.unionByName(apart)
+
+
 @register("stage_scored_roundtrip", f"SELECT _row_id, {', '.join([*METRICS, *FACTOR_NAMES])}, overall_score, mscore_flag FROM ({o.scored()})")
 def stage_scored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and scores, each stage written and read again."""
@@ -338,12 +373,13 @@ def stage_raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("quality_null_rates", f"WITH m AS MATERIALIZED ({o.metrics()}) SELECT * FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS column_name, CAST(count(*) FILTER ({c} IS NULL) AS DOUBLE) / count(*) AS null_rate FROM m''' for c in [*RAW_NUMBERS, *METRICS])}) WHERE null_rate > 0.1")
 def quality_null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_rates(measured(spark, sf_dir), columns=[*RAW_NUMBERS, *METRICS])
+    """Counted as the metrics' stage is written."""
+    return quality.save_profiled(measured(spark, sf_dir), new_path(spark, "metrics"), columns=[*RAW_NUMBERS, *METRICS]).null_rates(spark)
 
 
 @register("quality_counts", "SELECT count(*) AS n_rows, 121 AS n_columns FROM part")
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.counts(measured(spark, sf_dir))
+    return quality.save_profiled(measured(spark, sf_dir), new_path(spark, "metrics")).counts(spark)
 
 
 @register("quality_missing_columns", " UNION ALL ".join(f"SELECT 'part' AS source, '{c}' AS missing_column, count(*) AS n_rows FROM part" for c in HEADERS.values()))
@@ -376,6 +412,24 @@ def quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(measured(spark, sf_dir), _FENCED)
 
 
+_WIDTHS = {"2000-08-01": ["ticker", "market_cap", "revenues_ttm", "cfo"], "2001-02-01": ["ticker", "market_cap", "revenues_ttm", "net_income", "fcf"], "2001-08-01": ["ticker", "market_cap", "revenues_ttm", "net_income", "fcf"]}
+_CHANGES = [("2001-02-01", "added", "net_income", None, "double"), ("2001-02-01", "added", "fcf", None, "double"), ("2001-02-01", "lost", "cfo", "double", None), ("2001-02-01", "column_count", "universe", "4", "5"), ("2001-08-01", "type", "market_cap", "double", "string")]
+
+
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+@register("quality_schema_changes", " UNION ALL ".join(f"SELECT {_literal(a)} AS snapshot, {_literal(b)} AS finding, {_literal(c)} AS subject, {_literal(d)} AS before, {_literal(e)} AS after, count(*) AS n_rows FROM part" for a, b, c, d, e in _CHANGES))
+def quality_schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between three stored snapshots of different width, and the rows of the later one."""
+    path = new_path(spark, "widths")
+    for day, columns in _WIDTHS.items():
+        df = read_companies(spark, sf_dir, day).select(*columns, F.lit(day).cast("date").alias("as_of"))
+        tables.save(df.withColumn("market_cap", F.col("market_cap").cast("string")) if day == "2001-08-01" else df, path, "as_of")
+    return quality.schema_findings(quality.schema_history(spark, path))
+
+
 # --- parity --------------------------------------------------------------------------------------------
 
 

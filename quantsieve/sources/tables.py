@@ -76,6 +76,7 @@ def save(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = No
     written = fs.globStatus(hadoop(spark, "/".join([top, *["*"] * len(keys), f"_v={version}"]))[0]) or []
     parts = {f.getPath().getParent().toString()[len(top) :].strip("/"): version for f in written}
     old = manifest(spark, path) if keys else None
+    old = old if old and old["keys"] == keys else None  # another layout replaces the whole
     parts = (old or {"parts": {}})["parts"] | parts
     schemas = ((old or {"schemas": {}})["schemas"]) | {version: schema.json()}
     _publish(spark, path, {"keys": keys, "parts": parts, "schemas": {v: schemas[v] for v in dict.fromkeys([*parts.values(), version])}})

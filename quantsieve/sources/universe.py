@@ -1,6 +1,6 @@
 """A universe of companies made of the order tables: each part is a company, its order lines its accounts.
 
-Amounts are summed as decimals, so results don't depend on the order of rows.
+Amounts are decimals, summed as whole numbers, so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -37,22 +37,26 @@ def accounts(lineitem: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """One row per part: the amounts <window>_<kind>, counts n_<window>_<kind>, and weighted sums, in one aggregation."""
     aggs = []
     spans = windows(as_of)
+    first, last = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
+    seen = lineitem.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp")) & (F.col("l_shipdate") < F.lit(last).cast("timestamp")))
+    # Each amount is parsed once, and summed as a whole number of its last decimal place.
+    price = F.col("l_extendedprice").cast(MONEY)
+    whole = lambda x, digits: (x * 10**digits).cast("long")
+    seen = seen.select("l_partkey", "l_shipdate", "l_returnflag", "l_linestatus", whole(price, 2).alias("cents"), whole(F.col("l_quantity").cast(MONEY), 2).alias("quantity"), *[whole(price * F.col(f"l_{rate}").cast(MONEY), 4).alias(rate) for rate in ("tax", "discount")])
+    total = lambda met, name, digits: F.sum(F.when(met, F.col(name))).cast("double") / 10.0**digits
     for w, (a, b) in spans.items():
         inside = (F.col("l_shipdate") >= F.lit(a).cast("timestamp")) & (F.col("l_shipdate") < F.lit(b).cast("timestamp"))
         for kind, test in KINDS.items():
             met = inside if test is None else inside & (F.col(test[0]) == test[1])
-            aggs.append(F.sum(F.when(met, F.col("l_extendedprice").cast(MONEY))).cast("double").alias(f"{w}_{kind}"))
+            aggs.append(total(met, "cents", 2).alias(f"{w}_{kind}"))
             if w in ("y0", "y1"):
                 aggs.append(F.count(F.when(met, 1)).cast("double").alias(f"n_{w}_{kind}"))
-        aggs.append(F.sum(F.when(inside & (F.col("l_returnflag") != "R"), F.col("l_extendedprice").cast(MONEY))).cast("double").alias(f"{w}_kept"))
+        aggs.append(total(inside & (F.col("l_returnflag") != "R"), "cents", 2).alias(f"{w}_kept"))
         if w in ("y0", "y1"):
-            for rate in ("tax", "discount"):
-                aggs.append(F.sum(F.when(inside, F.col("l_extendedprice").cast(MONEY) * F.col(f"l_{rate}").cast(MONEY))).cast("double").alias(f"{w}_{rate}"))
+            aggs += [total(inside, rate, 4).alias(f"{w}_{rate}") for rate in ("tax", "discount")]
     y0 = spans["y0"]
     inside = (F.col("l_shipdate") >= F.lit(y0[0]).cast("timestamp")) & (F.col("l_shipdate") < F.lit(y0[1]).cast("timestamp"))
-    aggs.append(F.sum(F.when(inside, F.col("l_quantity").cast(MONEY))).cast("double").alias("y0_quantity"))
-    first, last = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
-    seen = lineitem.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp")) & (F.col("l_shipdate") < F.lit(last).cast("timestamp")))
+    aggs.append(total(inside, "quantity", 2).alias("y0_quantity"))
     return seen.groupBy("l_partkey").agg(*aggs)
 
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantsieve.sources import tables, uploads
 from quantsieve.sources.schema import HEADERS
+from quantsieve.sources.shared import drop_intermediates, hadoop
 
 
 def write(path, columns, rows):
@@ -55,3 +57,45 @@ def test_stage_tables(spark, tmp_path):
     tables.save(spark.sql("select 1 as a, '2001-01-01' as as_of union all select 2, '2002-01-01'"), path, "as_of")
     tables.save(spark.sql("select 3 as a, '2002-01-01' as as_of"), path, "as_of")
     assert sorted(r["a"] for r in tables.load(spark, path).collect()) == [1, 3]
+
+
+def test_a_save_that_fails_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.save(spark.sql("select 1L as a, '2001-01-01' as as_of"), path, "as_of")
+    old = tables.load(spark, path)
+    broken = spark.range(100).selectExpr("if(id = 99, raise_error('lost'), id) as a", "if(id < 50, '2001-01-01', '2002-01-01') as as_of")
+    with pytest.raises(Exception, match="lost"):
+        tables.save(broken, path, "as_of")
+    assert [r["a"] for r in tables.load(spark, path).collect()] == [1]
+    # Readers keep the version they began with until it is cleared away.
+    tables.save(spark.sql("select 2L as a, '2001-01-01' as as_of"), path, "as_of")
+    assert [r["a"] for r in old.collect()] == [1] and [r["a"] for r in tables.load(spark, path).collect()] == [2]
+    assert tables.vacuum(spark, path) >= 1 and [r["a"] for r in tables.load(spark, path).collect()] == [2]
+    assert tables.vacuum(spark, path) == 0
+
+
+def test_versions_of_other_width_and_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.save(spark.sql("select 1 as a, '01' as k"), path, "k")
+    tables.save(spark.sql("select 2 as a, 2.5D as more, '02' as k"), path, "k")
+    got = {tuple(r) for r in tables.load(spark, path).select("k", "a", "more").collect()}
+    assert got == {("01", 1, None), ("02", 2, 2.5)}
+    assert tables.save(spark.range(5), str(tmp_path / "u"), observe={"n": F.count(F.lit(1)), "top": F.max("id")}) == {"n": 5, "top": 4}
+
+
+def test_report_of_missing_columns(spark, tmp_path):
+    heads = list(HEADERS)
+    write(tmp_path / "a b+é.csv", heads, [["1"] * len(heads)] * 3)
+    write(tmp_path / "b.csv", heads[1:], [["1"] * len(heads)] * 2)
+    (tmp_path / "c.csv").write_text("")
+    rows = uploads.missing_report(spark, uploads.list_uploads(spark, str(tmp_path))).collect()
+    assert sorted({(r["file"].rsplit("/", 1)[-1], r["n_lines"]) for r in rows}) == [("b.csv", 3), ("c.csv", 0)]
+    assert sum(r["file"].endswith("c.csv") for r in rows) == len(heads) and [r["missing_column"] for r in rows if r["file"].endswith("b.csv")] == [heads[0]]
+
+
+def test_intermediates_go(spark, tmp_path):
+    df = tables.staged(spark.range(3), "x")
+    path, fs = hadoop(spark, df.inputFiles()[0])
+    assert fs.exists(path) and df.count() == 3
+    drop_intermediates(spark)
+    assert not fs.exists(path)
