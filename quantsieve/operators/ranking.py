@@ -48,24 +48,33 @@ def ranges_for(rows: int) -> int:
     return min(max(rows // RANGE_ROWS, LEAST_RANGES), MOST_RANGES)
 
 
-def bucketed(long: DataFrame, group: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(long with _v, the range _bucket and whether _v is the cut point that begins it (_cut); a row for each _bucket and _cut with _n rows, _before and _all in the group).
+def cut_points(long: DataFrame, group: list[str], buckets: int) -> DataFrame:
+    """group, _cuts: about the ``buckets``-quantiles of _v, in ascending order."""
+    return long.groupBy(*group).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets)).alias("_cuts"))
 
-    No group is ever one task. Cut points are approximate, which moves the borders of ranges and no result.
-    """
-    kept = long.columns
-    long = long.withColumn("_v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
-    cuts = long.groupBy(*group).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets)).alias("_cuts"))
+
+def in_ranges(long: DataFrame, cuts: DataFrame, group: list[str], buckets: int) -> DataFrame:
+    """long (with _v) with its range _bucket, and whether _v is the cut point that begins it (_cut)."""
+    kept = [c for c in long.columns if c != "_v"]
     if group == ["factor"]:
         cuts = F.broadcast(cuts)  # one row per metric
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
     # Cut points are searched in two steps: the first of every step, then those after it.
     step = max(1, round(buckets**0.5))
-    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1, F.lit(step)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("_v")))
+    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_cuts") - 1, F.lit(0)), F.lit(step)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("_v")))
     at = F.greatest(first - 1, F.lit(0)) * step
     put = long.alias("a").join(cuts.alias("b"), same).select("a.*", "_cuts", at.alias("_at"))
     put = put.select(*kept, "_v", (F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(step)), lambda x: x <= F.col("_v")))).alias("_bucket"), "_cuts")
-    put = put.select(*kept, "_v", "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("_v"), F.lit(False)).alias("_cut"))
+    return put.select(*kept, "_v", "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("_v"), F.lit(False)).alias("_cut"))
+
+
+def bucketed(long: DataFrame, group: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(long with _v, the range _bucket and whether _v is the cut point that begins it (_cut); a row for each _bucket and _cut with _n rows, _before and _all in the group).
+
+    No group is ever one task. Cut points are approximate, which moves the borders of ranges and no result.
+    """
+    long = long.withColumn("_v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
+    put = in_ranges(long, cut_points(long, group, buckets), group, buckets)
     # Rows at a cut point come before the others of its range.
     below = Window.partitionBy(*group).orderBy("_bucket", F.desc("_cut"))
     per = put.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n"))
@@ -125,8 +134,13 @@ def rank_factors(df: DataFrame, columns: dict[str, str], inverted: dict[str, boo
         ranked = rank_long(unpivot(rows, [row_id, *[k for k in universe_keys if k != row_id]], columns), universe_keys, strategy)
     else:
         ranked = rank_table(rows, columns, row_id, universe_keys, large)
+    return join_scores(rows, ranked, columns, inverted, defaults, row_id).select(*carried, *columns)
+
+
+def join_scores(rows: DataFrame, ranked: DataFrame, columns: dict[str, str], inverted: dict[str, bool], defaults: dict[str, float], row_id: str = "_row_id") -> DataFrame:
+    """rows with a score column per factor from ranked (row_id, factor, p)."""
     flip = F.col("factor").isin([f for f in columns if inverted[f]])
     scores = ranked.select(row_id, "factor", F.when(flip, 1 - F.col("p")).otherwise(F.col("p")).alias("p"))
     wide = scores.groupBy(row_id).pivot("factor", list(columns)).agg(F.first("p"))
     joined = rows.join(wide, row_id, "left")
-    return joined.select(*carried, *[F.coalesce(F.col(f), F.lit(float(defaults[f]))).alias(f) for f in columns])
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f), F.lit(float(defaults[f]))).alias(f) for f in columns])

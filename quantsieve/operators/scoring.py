@@ -35,7 +35,12 @@ def scored_universe(metrics: DataFrame, config: dict | None = None, *, keep: Seq
     """metrics (its columns of ``keep`` if given) with 24 factor scores, overall_score and mscore_flag."""
     config = check_config(config or default_config())
     scored = factor_scores(metrics, config, keep=None if keep is None else [*keep, "mscore"], **options)
-    return scored.withColumns({"overall_score": composite(config["weights"]), "mscore_flag": mscore_flag(config["mscore_threshold"])})
+    return finished(scored, config)
+
+
+def finished(scores: DataFrame, config: dict) -> DataFrame:
+    """scores with overall_score and mscore_flag."""
+    return scores.withColumns({"overall_score": composite(config["weights"]), "mscore_flag": mscore_flag(config["mscore_threshold"])})
 
 
 def reweight(scored: DataFrame, scenarios: DataFrame) -> DataFrame:

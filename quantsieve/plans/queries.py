@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantsieve.functions.metrics import METRICS, with_metrics
-from quantsieve.operators import history, parity, quality, ranking, scoring, screen
+from quantsieve.operators import history, parity, quality, rank_index, ranking, scoring, screen
 from quantsieve.plans import oracle as o
 from quantsieve.sources import tables, uploads
-from quantsieve.sources.schema import CATEGORIES, CATEGORY_OF, DISPLAY, FACTOR_NAMES, FACTORS, HEADERS, IDENTITY, default_config
+from quantsieve.sources.schema import CATEGORIES, CATEGORY_OF, DISPLAY, FACTOR_NAMES, FACTORS, HEADERS, IDENTITY, INVERTED, METRIC_OF, default_config
 from quantsieve.sources.shared import new_path
 from quantsieve.sources.universe import read_companies, read_panel
 from quantsieve.streaming import refresh
@@ -345,6 +345,17 @@ def refresh_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.unionByName(apart)
 
 
+@register("rescore_late_rows", f"SELECT _row_id, ticker, {', '.join(FACTOR_NAMES)}, overall_score FROM ({o.scored()})")
+def rescore_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from an index of ranks that was built of some companies and to which the others, those with the largest market caps among them, came late."""
+    rows, path = tables.staged(measured(spark, sf_dir), "metrics"), new_path(spark, "ranks")
+    late = F.col("market_cap") > 60_000
+    rank_index.build(path, rows.where(~late), METRIC_OF, ranges=4)
+    rank_index.add(path, rows.where(late), METRIC_OF)
+    config = default_config()
+    return scoring.finished(ranking.join_scores(rows, rank_index.ranks(spark, path), METRIC_OF, INVERTED, config["defaults"]), config).select("_row_id", "ticker", *FACTOR_NAMES, "overall_score")
+
+
 @register("stage_scored_roundtrip", f"SELECT _row_id, {', '.join([*METRICS, *FACTOR_NAMES])}, overall_score, mscore_flag FROM ({o.scored()})")
 def stage_scored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics and scores, each stage written and read again."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +57,8 @@ def _publish(spark: SparkSession, path: str, content: dict) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, over)
 
 
-def save(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None, observe: Mapping[str, Column] | None = None) -> dict:
-    """Replace a stage; with partition_by, only the partitions that df holds. The values of ``observe``, aggregates over df taken as it is written."""
+def save(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None, observe: Mapping[str, Column] | None = None, replace: bool = False) -> dict:
+    """Replace a stage; with partition_by, only the partitions that df holds, unless ``replace``. The values of ``observe``, aggregates over df taken as it is written."""
     spark, version, values = df.sparkSession, uuid.uuid4().hex, {}
     keys = [partition_by] if isinstance(partition_by, str) else list(partition_by or ())
     schema = df.schema
@@ -75,7 +75,7 @@ def save(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = No
     top = fs.resolvePath(root).toString().rstrip("/")
     written = fs.globStatus(hadoop(spark, "/".join([top, *["*"] * len(keys), f"_v={version}"]))[0]) or []
     parts = {f.getPath().getParent().toString()[len(top) :].strip("/"): version for f in written}
-    old = manifest(spark, path) if keys else None
+    old = manifest(spark, path) if keys and not replace else None
     old = old if old and old["keys"] == keys else None  # another layout replaces the whole
     parts = (old or {"parts": {}})["parts"] | parts
     schemas = ((old or {"schemas": {}})["schemas"]) | {version: schema.json()}
@@ -83,10 +83,10 @@ def save(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = No
     return values
 
 
-def load(spark: SparkSession, path: str, *, empty: bool = False) -> DataFrame | None:
+def load(spark: SparkSession, path: str, *, empty: bool = False, only: Collection[str] | None = None) -> DataFrame | None:
     """A stage's table; None where there is none or, unless ``empty``, where it has no rows.
 
-    Versions of different width are read as one: columns that a version lacks are null.
+    only: names of partitions (such as as_of=2001-08-01); others are neither listed nor read. Versions of different width are read as one: columns that a version lacks are null.
     """
     if (found := manifest(spark, path)) is None:
         return None
@@ -94,9 +94,10 @@ def load(spark: SparkSession, path: str, *, empty: bool = False) -> DataFrame |
     for text in found["schemas"].values():
         fields |= {f.name: f for f in T.StructType.fromJson(json.loads(text)).fields}
     reader = spark.read.option("basePath", path).schema(T.StructType([*fields.values(), T.StructField("_v", T.StringType())]))
-    if not found["parts"]:
+    parts = {part: v for part, v in found["parts"].items() if only is None or part in only}
+    if not parts:
         return spark.createDataFrame([], T.StructType(list(fields.values()))) if empty else None
-    df = reader.parquet(*["/".join(filter(None, (path, part, f"_v={v}"))) for part, v in found["parts"].items()]).drop("_v")
+    df = reader.parquet(*["/".join(filter(None, (path, part, f"_v={v}"))) for part, v in parts.items()]).drop("_v")
     return df if empty or not df.isEmpty() else None
 
 

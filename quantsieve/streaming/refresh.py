@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantsieve.functions.metrics import with_metrics
-from quantsieve.operators.scoring import scored_universe
-from quantsieve.sources.schema import HEADERS
-from quantsieve.sources.tables import load, save
+from quantsieve.operators import rank_index
+from quantsieve.operators.ranking import join_scores
+from quantsieve.operators.scoring import finished, scored_universe
+from quantsieve.sources.schema import HEADERS, INVERTED, METRIC_OF, check_config, default_config
+from quantsieve.sources.tables import load, manifest, save
 from quantsieve.sources.uploads import sort_out
 
 #: The date in an upload's path that says which snapshot it belongs to.
@@ -33,23 +35,39 @@ def rescore(spark: SparkSession, raw_path: str, scored_path: str, as_ofs: Sequen
     save(scored_universe(with_metrics(touched), config, universe_keys=["as_of"]), scored_path, "as_of")
 
 
-def _take_up(rows: DataFrame, batch_id: int, raw_path: str, scored_path: str, config: dict | None) -> None:
+def rescore_late(spark: SparkSession, raw_path: str, scored_path: str, index_path: str, batch_id: int, as_ofs: Sequence[date], config: dict | None = None) -> None:
+    """As ``rescore``, with an index of ranks for each snapshot: only the value ranges that the batch's rows fall in are ranked again."""
+    config, raw, scored = check_config(config or default_config()), load(spark, raw_path, empty=True), None
+    for day in as_ofs:  # snapshots in one batch
+        at, rows = f"{index_path}/{day}", with_metrics(raw.where(F.col("as_of") == F.lit(day)))
+        if manifest(spark, f"{at}/counts") is None:
+            rank_index.build(at, rows, METRIC_OF)
+        else:
+            rank_index.add(at, rows.where(F.col("batch") == batch_id), METRIC_OF)
+        part = finished(join_scores(rows, rank_index.ranks(spark, at), METRIC_OF, INVERTED, config["defaults"]), config)
+        scored = part if scored is None else scored.unionByName(part)
+    save(scored, scored_path, "as_of")
+
+
+def _take_up(rows: DataFrame, batch_id: int, raw_path: str, scored_path: str, config: dict | None, index_path: str | None = None) -> None:
     """Add a batch's rows; one that is run again after a failure replaces what it wrote before."""
     spark = rows.sparkSession
     save(rows.withColumn("batch", F.lit(batch_id)), raw_path, ("as_of", "batch"))
     days = [r["as_of"] for r in load(spark, raw_path, empty=True).where(F.col("batch") == batch_id).select("as_of").distinct().collect()]  # snapshots in one batch
-    if days:
+    if days and index_path:
+        rescore_late(spark, raw_path, scored_path, index_path, batch_id, days, config)
+    elif days:
         rescore(spark, raw_path, scored_path, days, config)
 
 
-def refresh(spark: SparkSession, incoming: str, schema: str, raw_path: str, scored_path: str, checkpoint: str, config: dict | None = None) -> StreamingQuery:
-    """Take up all Parquet files that are new in ``incoming`` (rows with as_of and _row_id), then stop."""
+def refresh(spark: SparkSession, incoming: str, schema: str, raw_path: str, scored_path: str, checkpoint: str, config: dict | None = None, index_path: str | None = None) -> StreamingQuery:
+    """Take up all Parquet files that are new in ``incoming`` (rows with as_of and _row_id), then stop; with index_path by ``rescore_late``."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(incoming)
-    take = lambda batch, batch_id: _take_up(batch, batch_id, raw_path, scored_path, config)
+    take = lambda batch, batch_id: _take_up(batch, batch_id, raw_path, scored_path, config, index_path)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def refresh_uploads(spark: SparkSession, incoming: str, raw_path: str, scored_path: str, quarantine_path: str, checkpoint: str, config: dict | None = None, *, headers: Mapping[str, str] = HEADERS, snapshot: str = SNAPSHOT, files: int = FILES) -> StreamingQuery:
+def refresh_uploads(spark: SparkSession, incoming: str, raw_path: str, scored_path: str, quarantine_path: str, checkpoint: str, config: dict | None = None, *, headers: Mapping[str, str] = HEADERS, snapshot: str = SNAPSHOT, files: int = FILES, index_path: str | None = None) -> StreamingQuery:
     """Take up all CSV uploads that are new in ``incoming`` or its folders, then stop.
 
     An upload's snapshot is the date in its path. Files of a micro-batch are grouped by header and checked one by one:
@@ -70,7 +88,7 @@ def refresh_uploads(spark: SparkSession, incoming: str, raw_path: str, scored_pa
             if rows is not None:
                 as_of = F.regexp_extract("_source_file", snapshot, 1).cast("date")
                 numbered = rows.withColumns({"as_of": as_of, "_row_id": F.concat_ws("-", F.lit(batch_id), F.monotonically_increasing_id())})
-                _take_up(numbered, batch_id, raw_path, scored_path, config)
+                _take_up(numbered, batch_id, raw_path, scored_path, config, index_path)
         if found:
             save(spark.createDataFrame(found, _FINDING).withColumn("batch", F.lit(batch_id)), quarantine_path, "batch")
 

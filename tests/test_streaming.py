@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantsieve.functions.metrics import with_metrics
+from quantsieve.operators import ranking
 from quantsieve.operators.scoring import scored_universe
 from quantsieve.sources import tables
 from quantsieve.sources.schema import HEADERS
@@ -12,14 +13,16 @@ from quantsieve.streaming import refresh as streaming
 from quantsieve.streaming.refresh import refresh, refresh_uploads
 
 
-def test_refresh_rescores_touched_snapshots(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_refresh_rescores_touched_snapshots(spark, sf_dir, tmp_path, indexed, monkeypatch):
+    monkeypatch.setattr(ranking, "LEAST_RANGES", 2)
     panel = read_panel(spark, sf_dir, ["2000-08-01", "2001-08-01"]).withColumn("_row_id", F.concat_ws("@", "as_of", "_row_id")).cache()
     schema = ", ".join(f"`{c}` {t}" for c, t in panel.dtypes)
     paths = [str(tmp_path / p) for p in ("in", "raw", "scored", "checkpoint")]
     late = (F.col("as_of") == F.lit("2001-08-01").cast("date")) & (F.crc32("ticker") % 2 == 0)
     for part in (panel.where(~late), panel.where(late)):
         part.write.mode("append").parquet(paths[0])
-        refresh(spark, paths[0], schema, *paths[1:]).awaitTermination()
+        refresh(spark, paths[0], schema, *paths[1:], index_path=str(tmp_path / "index") if indexed else None).awaitTermination()
     got = {r["_row_id"]: r["overall_score"] for r in tables.load(spark, paths[2]).collect()}
     want = {r["_row_id"]: r["overall_score"] for r in scored_universe(with_metrics(panel), universe_keys=["as_of"]).collect()}
     assert got == want
