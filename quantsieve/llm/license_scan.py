@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -64,27 +64,27 @@ FAMILIES = [
     ("ms-pl", "microsoft", r"(?:the )?microsoft (?:public|reciprocal)", r"ms-(?:pl|rl)", r"opensource\.org/licenses?/ms-"),
     ("odbl", ("open database", "open data commons"), r"(?:the )?open (?:data commons )?(?:open )?database", r"odbl-[\d.]+", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "open data commons", r"(?:the )?open data commons attribution", r"odc-by-[\d.]+", r"opendatacommons\.org/licenses/by"),
-    ("cc0", ("cc0", "cc zero"), r"(?:the )?(?:creative commons )?(?:cc0|cc zero)(?: universal)?", r"cc0-[\d.]+", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-nc-nd", ("by-nc-nd", "noncommercial"), r"(?:cc[- ]by-nc-nd|creative commons attribution-?\s?noncommercial-?\s?noderiv\w+)", r"cc-by-nc-nd-[\d.]+", r"creativecommons\.org/licenses/by-nc-nd"),
-    ("cc-by-nc-sa", ("by-nc-sa", "noncommercial"), r"(?:cc[- ]by-nc-sa|creative commons attribution-?\s?noncommercial-?\s?sharealike)", r"cc-by-nc-sa-[\d.]+", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", ("by-nc", "noncommercial"), r"(?:cc[- ]by-nc|creative commons attribution-?\s?noncommercial)", r"cc-by-nc-[\d.]+", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", ("by-nd", "noderiv"), r"(?:cc[- ]by-nd|creative commons attribution-?\s?noderiv\w+)", r"cc-by-nd-[\d.]+", r"creativecommons\.org/licenses/by-nd"),
-    ("cc-by-sa", ("by-sa", "sharealike"), r"(?:cc[- ]by-sa|creative commons attribution-?\s?sharealike)", r"cc-by-sa-[\d.]+", r"creativecommons\.org/licenses/by-sa"),
-    ("cc-by", ("cc-by", "cc by", "creative commons attribution"), r"(?:cc[- ]by|creative commons attribution)", r"cc-by-[\d.]+", r"creativecommons\.org/licenses/by/"),
+    ("cc0", ("cc0", "zero"), r"(?:the )?(?:creative commons )?(?:cc0|cc zero)(?: universal)?", r"cc0-[\d.]+", r"creativecommons\.org/publicdomain/zero"),
+    ("cc-by-nc-nd", ("by-nc-nd", "noncommercial", "non-commercial"), r"(?:cc(?:-| )by-nc-nd|creative commons attribution(?:-| )?non-?commercial(?:-| )?no-?deriv\w+)", r"cc-by-nc-nd-[\d.]+", r"creativecommons\.org/licenses/by-nc-nd"),
+    ("cc-by-nc-sa", ("by-nc-sa", "noncommercial", "non-commercial"), r"(?:cc(?:-| )by-nc-sa|creative commons attribution(?:-| )?non-?commercial(?:-| )?share-?alike)", r"cc-by-nc-sa-[\d.]+", r"creativecommons\.org/licenses/by-nc-sa"),
+    ("cc-by-nc", ("by-nc", "noncommercial", "non-commercial"), r"(?:cc(?:-| )by-nc|creative commons attribution(?:-| )?non-?commercial)", r"cc-by-nc-[\d.]+", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", ("by-nd", "noderiv", "no-deriv"), r"(?:cc(?:-| )by-nd|creative commons attribution(?:-| )?no-?deriv\w+)", r"cc-by-nd-[\d.]+", r"creativecommons\.org/licenses/by-nd"),
+    ("cc-by-sa", ("by-sa", "sharealike", "share-alike"), r"(?:cc(?:-| )by-sa|creative commons attribution(?:-| )?share-?alike)", r"cc-by-sa-[\d.]+", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by", ("cc-by", "cc", "attribution"), r"(?:cc(?:-| )by|creative commons attribution)", r"cc-by-[\d.]+", r"creativecommons\.org/licenses/by/"),
     ("public-domain", "public domain", r"(?:the )?public domain", r"public-domain", r"creativecommons\.org/publicdomain/mark"),
-    ("proprietary", "proprietary", r"(?:a |the )?proprietary", r"licenseref-proprietary", r"\S+/proprietary-license"),
+    ("proprietary", "proprietary", r"(?:a |the )?proprietary", r"licenseref-proprietary", r"proprietary-license"),
 ]
-_VERSION = r"(?:,? (?:version |v\.? ?)?\d+(?:\.\d+)*(?: or (?:any )?later(?: version)?)?)"
+_VERSION = r"(?:,? (?:version |v\.?(?: )?)?\d+(?:\.\d+)*(?: or (?:any )?later(?: version)?)?)"
 _WORD = r"licen[cs]es?"
 # Form, priority, confidence, whether it takes the SPDX id or the address for the name, and the regex around it.
 FORMS = [
-    ("spdx", 6, 0.99, "spdx", r"spdx-license-identifier:?\s*(?:{name})\b"),
+    ("spdx", 6, 0.99, "spdx", r"spdx-license-identifier:?\s*(?:[()\w.+-]{{1,60}}[\t\x20]+(?:and|or|with)[\t\x20]+){{0,20}}\(*(?P<id>{name})(?![\w-]|\.\w)"),
     ("address", 5, 0.95, "address", r"(?:https?://)?(?:www\.)?(?:{name})"),
-    ("grant", 4, 0.9, "name", r"(?:licensed|released|distributed|available|published|licenced|offered|made available|redistributed?)\s+under\s+(?:the terms of\s+)?(?:a |an )?(?:{name})(?:\s+{word})?{version}?"),
-    ("field", 4, 0.85, "name", r"\b{word}\s*[:=]\s*[\"']?(?:{name})(?:\s+{word})?{version}?"),
-    ("versioned", 3, 0.8, "name", r"\b(?:{name})\s+{word}{version}"),
-    ("dedicated", 3, 0.8, "only public-domain", r"\b(?:dedicated|placed|released)\s+(?:to|in|into)\s+(?:{name})\b"),
-    ("title", 2, 0.6, "name", r"\b(?:{name})\s+{word}\b"),
+    ("grant", 4, 0.9, "name", r"(?:licensed|released|distributed|available|published|licenced|offered|made available|redistributed?) under (?:the terms of )?(?:a |an )?(?:{name})(?: {word})?{version}?"),
+    ("field", 4, 0.85, "name", r"\b{word}(?: )?[:=](?: )?[\"']?(?:{name})(?: {word})?{version}?"),
+    ("versioned", 3, 0.8, "name", r"\b(?:{name}) {word}{version}"),
+    ("dedicated", 3, 0.8, "only public-domain", r"\b(?:dedicated|placed|released) (?:to|in|into) (?:{name})\b"),
+    ("title", 2, 0.6, "name", r"\b(?:{name}) {word}\b"),
 ]
 
 
@@ -148,6 +148,119 @@ TEXTS = [
     ("proprietary", "notice", "confidential", r"(?:confidential and proprietary|proprietary and confidential)"),
     ("proprietary", "notice", "may be reproduced", r"no part of this ... may be reproduced"),
     ("proprietary", "notice", "unauthorized copying of this file", r"unauthorized copying of this file, via any medium,? is strictly prohibited"),
+    # More of what licences, headers and notices say.
+    ("mit", "condition", "to deal in the software without restriction", r"to deal in the software without restriction, including without limitation the rights to use"),
+    ("mit", "header", "mit-style", r"governed by an mit-style licen[cs]e"),
+    ("mit", "notice", "expat", r"(?:released|licensed|distributed) under the (?:terms of the )?expat licen[cs]e"),
+    ("mit", "notice", "x11", r"(?:released|licensed|distributed) under the (?:terms of the )?x11 licen[cs]e"),
+    ("mit", "condition", "portions of the software", r"copies or substantial portions of the software"),
+    ("bsd-2-clause", "condition", "redistributions of source code must retain", r"redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "condition", "this software is provided by the copyright holders", r"this software is provided by the copyright holders and contributors \"?as is\"? and any express or implied warranties"),
+    ("bsd", "condition", "regents", r"this software is provided by the regents and contributors"),
+    ("bsd-3-clause", "condition", "contributors may be used to endorse", r"names of its contributors may be used to endorse or promote products"),
+    ("bsd", "header", "governed", r"use of this source code is governed by a bsd(?:-style)? licen[cs]e that can be found in the"),
+    ("apache", "header", "distributed on an", r"distributed on an \"?as is\"? basis, without warranties or conditions of any kind"),
+    ("apache", "header", "contributor license agreements", r"licensed to the apache software foundation (?:\(asf\) )?under one or more contributor license agreements"),
+    ("apache", "notice", "asf licenses this file", r"the asf licenses this file to you"),
+    ("apache", "notice", "developed by the apache software foundation", r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("apache", "condition", "patent license to make", r"royalty-free, irrevocable ... patent license to make, have made, use"),
+    ("apache", "condition", "either express or implied", r"without warranties or conditions of any kind, either express or implied"),
+    ("gpl", "condition", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public license"),
+    ("gpl", "header", "either version", r"as published by the free software foundation[;,] either version [\d.]+ of the license"),
+    ("gpl", "notice", "temple place", r"free software foundation, inc\., 59 temple place"),
+    ("gpl", "notice", "franklin street", r"free software foundation, inc\., 51 franklin street"),
+    ("gpl", "body", "preamble", r"preamble the licenses for most software are designed to take away your freedom"),
+    ("gpl", "condition", "work based on the program", r"a \"?work based on the program\"? means"),
+    ("gpl", "condition", "complete corresponding", r"accompany it with the complete corresponding machine-readable source code"),
+    ("gpl", "notice", "gpl", r"\bgpl(?: )?v(?: )?3"),
+    ("gpl", "notice", "gpl", r"\bgpl(?: )?v(?: )?2"),
+    ("lgpl", "notice", "lgpl", r"\blgpl(?: )?v(?: )?[23]"),
+    ("lgpl", "body", "applies to some specially designated", r"this license, the (?:lesser|library) general public license, applies to some specially designated"),
+    ("lgpl", "condition", "work that uses the library", r"a \"?work that uses the library\"?"),
+    ("lgpl", "header", "library", r"this file is part of the ... library\. this library is free software"),
+    ("agpl", "condition", "interacting with it remotely", r"users interacting with it remotely through a computer network"),
+    ("agpl", "notice", "agpl", r"\bagpl(?: )?v(?: )?3"),
+    ("gfdl", "condition", "invariant sections", r"with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
+    ("gfdl", "condition", "entitled", r"a copy of the license is included in the section entitled \"?gnu free documentation license"),
+    ("mpl", "header", "you can obtain one at", r"if a copy of the mpl was not distributed with this file, you can obtain one at"),
+    ("mpl", "header", "version: mpl", r"version: mpl 1\.1"),
+    ("mpl", "condition", "initial developer", r"the initial developer of the original code is"),
+    ("mpl", "condition", "secondary licenses", r"incompatible with secondary licenses"),
+    ("mpl", "choice", "alternatively,", r"alternatively, the contents of this file may be used under the terms of either the gnu general public license"),
+    ("epl", "body", "constitutes recipient", r"any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement"),
+    ("epl", "notice", "epl-v", r"eclipse\.org/legal/epl-v[\d]+"),
+    ("epl", "notice", "distribution license v1", r"eclipse distribution license v(?: )?\.?1"),
+    ("cddl", "condition", "cddl header", r"cddl header start"),
+    ("cddl", "notice", "usr/src/opensolaris", r"usr/src/opensolaris\.license"),
+    ("cpl", "body", "under this common public license", r"the accompanying program is provided under the terms of this common public license"),
+    ("eupl", "header", "version of the eupl", r"subsequent versions of the eupl"),
+    ("eupl", "condition", "european commission", r"as soon they will be approved by the european commission"),
+    ("artistic", "body", "semblance of artistic control", r"maintains some semblance of artistic control over the development of the package"),
+    ("artistic", "condition", "standard version", r"you may make and give away verbatim copies of the source form of the standard version"),
+    ("boost", "condition", "machine-executable object code", r"solely in the form of machine-executable object code generated by a source language processor"),
+    ("boost", "header", "license_1_0.txt", r"license_1_0\.txt or copy at"),
+    ("zlib", "condition", "altered source versions", r"altered source versions must be plainly marked as such"),
+    ("zlib", "condition", "removed or altered from any source", r"this notice may not be removed or altered from any source distribution"),
+    ("zlib", "header", "zlib.h", r"for conditions of distribution and use, see copyright notice in zlib\.h"),
+    ("python", "body", "beopen", r"beopen python open source license agreement"),
+    ("python", "condition", "psf is making python available", r"psf is making python available to licensee on an \"?as is\"? basis"),
+    ("php", "condition", "php\" must not be used", r"the name \"?php\"? must not be used to endorse or promote products"),
+    ("php", "notice", "includes php software", r"this product includes php software, freely available from"),
+    ("ruby", "header", "terms of ruby", r"(?:distributed|released) under the (?:same )?terms (?:as|of) ruby"),
+    ("w3c", "body", "w3c software notice", r"w3c software notice and license"),
+    ("w3c", "notice", "obtaining,", r"by obtaining, using and/or copying this work, you \(the licensee\) agree"),
+    ("openssl", "condition", "cryptographic software written by eric", r"this product includes cryptographic software written by eric young"),
+    ("openssl", "exception", "link this program with the openssl", r"link (?:this program|the code of portions of this program) with the openssl library"),
+    ("ofl", "body", "goals", r"the goals of the open font license \(ofl\) are to stimulate worldwide development"),
+    ("ofl", "condition", "reserved font name", r"with reserved font names?"),
+    ("wtfpl", "notice", "wtfpl", r"(?:under|terms of) the wtfpl"),
+    ("unlicense", "condition", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("unlicense", "condition", "dedicate any and all copyright", r"dedicate any and all copyright interest in the software to the public domain"),
+    ("postgresql", "body", "and without a written agreement", r"without fee, and without a written agreement is hereby granted"),
+    ("ms-pl", "condition", "bring a patent claim", r"if you bring a patent claim against any contributor over patents that you claim are infringed"),
+    ("ms-pl", "notice", "microsoft", r"microsoft (?:public|reciprocal) license \(ms-[pr]l\)"),
+    ("odbl", "header", "made available under the open database", r"made available under the open database license"),
+    ("odc-by", "header", "odc", r"made available under the odc attribution license"),
+    ("odc-by", "notice", ("pddl", "dedication"), r"open data commons public domain dedication (?:and|&) licen[cs]e(?: \(pddl\))?|pddl(?:-| )1\.0"),
+    ("cc0", "body", "affirmer", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"),
+    ("cc0", "header", "to the extent possible under law", r"to the extent possible under law, ... (?:has|have) waived"),
+    ("cc-by", "condition", "appropriate credit", r"you must give appropriate credit, provide a link to the license, and indicate if changes were made"),
+    ("cc-by-nc", "condition", "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-sa", "condition", "contributions under the same license", r"you must distribute your contributions under the same license as the original"),
+    ("cc-by-nd", "condition", "distribute the modified material", r"you may not distribute the modified material"),
+    ("cc-by", "notice", "some rights reserved", r"some rights reserved"),
+    ("cc-by-sa", "notice", "available", r"text is available under the creative commons attribution-share-?alike license"),
+    ("public-domain", "notice", "author disclaims copyright", r"the author disclaims copyright to this source code"),
+    ("public-domain", "notice", "work of the united states government", r"(?:is|as) a work of the (?:united states|u\.s\.) government"),
+    ("public-domain", "notice", "not subject to copyright protection", r"not subject to copyright protection (?:in the united states|within the united states)"),
+    ("bsl", "body", "business source license", r"business source license 1\.1"),
+    ("bsl", "condition", "change date", r"change date: ... change license:"),
+    ("sspl", "body", "server side public", r"server side public license"),
+    ("elastic", "header", "elastic license", r"elastic license(?: 2\.0)?"),
+    ("commons-clause", "condition", "commons clause", r"commons clause(?:\"? license condition| restriction)?"),
+    ("json", "condition", "shall be used for good", r"the software shall be used for good, not evil"),
+    ("beerware", "body", "beer", r"beer-?ware licen[cs]e|you can buy me a beer in return"),
+    ("ftl", "body", "freetype", r"freetype project license|this software is based in part of the work of the freetype team"),
+    ("libpng", "condition", "png reference library", r"the png reference library is supplied \"?as is"),
+    ("ijg", "notice", "independent jpeg group", r"based in part on the work of the independent jpeg group"),
+    ("icu", "body", "unicode data files", r"permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files"),
+    ("curl", "notice", "stenberg", r"copyright and permission notice copyright \(c\) ... daniel stenberg"),
+    ("ncsa", "body", "university of illinois", r"university of illinois/ncsa open source license"),
+    ("vim", "body", "vim", r"(?:distributed under|same terms as) (?:the )?vim(?: license)?\b"),
+    ("ecl", "header", "educational community license", r"licensed under the educational community license"),
+    ("afl", "header", "academic free license", r"licensed under the academic free license"),
+    ("osl", "header", "open software license", r"licensed under the open software license"),
+    ("cecill", "header", "cecill", r"governed by the cecill(?:-[bc])? licen[cs]e"),
+    ("proprietary", "notice", "written", r"without (?:the )?(?:express |prior )*written (?:permission|consent) of the (?:copyright holder|copyright owner|author|publisher|company)"),
+    ("proprietary", "notice", "trade secrets", r"contains (?:confidential information and )?trade secrets of"),
+    ("proprietary", "notice", "internal use only", r"for internal use only"),
+    ("proprietary", "body", "end user license agreement", r"end(?:-| )user licen[cs]e agreement"),
+    ("universal-foss-exception", "exception", "foss exception", r"universal foss exception"),
+    ("swift-exception", "exception", "runtime library exception", r"apache license,? (?:version )?2\.0 with runtime library exception"),
+    ("qt-exception", "exception", "qt lgpl exception", r"(?:the )?qt (?:company )?(?:lgpl|gpl) exception"),
+    ("openjdk-exception", "exception", "assembly exception", r"openjdk assembly exception"),
+    ("dual", "choice", "at your option", r"(?:under|of) the ... licen[cs]e,? (?:or|and) the ... licen[cs]e,? at your option"),
+    ("dual", "choice", ("disjunction", "licensed", "licenced"), r"disjunction of the licen[cs]es|multi(?:-| )licen[cs]ed|tri(?:-| )licen[cs]ed"),
     ("all-rights-reserved", "notice", "all rights reserved", r"all rights reserved"),
 ]
 # Form, priority and confidence of TEXTS.
@@ -159,6 +272,14 @@ def _flexible(text: str) -> str:
     return text.replace(" ... ", r" [^\0]{1,80}? ").replace(" ", _GAP)
 
 
+def _words(keywords: tuple[str, ...]) -> tuple[str, ...]:
+    """Keywords of several words stand in a wrapped text in parts: their longest word is looked for."""
+    found = tuple(dict.fromkeys(max(k.split(), key=len, default="") for k in keywords))
+    if not all(found):
+        raise ValueError("a rule with an empty keyword would never be tried")
+    return found
+
+
 _LOWERED = str.maketrans(UPPER, LOWER)
 
 
@@ -183,11 +304,9 @@ def rules() -> tuple[Rule, ...]:
             kind = "name" if kind.startswith("only ") else kind
             inner = {"name": name, "spdx": spdx, "address": address}[kind]
             needed = {"name": (keywords,) if isinstance(keywords, str) else keywords, "spdx": ("spdx-",), "address": (re.sub(r"\\", "", re.match(r"(?:[\w-]|\\\.)*", address)[0]),)}[kind]
-            made.append(Rule(label, form, priority, confidence, needed, re.compile(around.format(name=inner, word=_WORD, version=_VERSION))))
+            made.append(Rule(label, form, priority, confidence, _words(needed), re.compile(_flexible(around.format(name=inner, word=_WORD, version=_VERSION)))))
     for label, form, keywords, text in TEXTS:
-        # Keywords of several words stand in a wrapped text in parts: their longest word is looked for.
-        needed = tuple(max(re.split(r"\s+", k.strip()), key=len) for k in ((keywords,) if isinstance(keywords, str) else keywords))
-        made.append(Rule(label, form, *TEXT_FORMS[form], needed, re.compile(_flexible(text))))
+        made.append(Rule(label, form, *TEXT_FORMS[form], _words((keywords,) if isinstance(keywords, str) else keywords), re.compile(_flexible(text))))
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
@@ -218,19 +337,24 @@ def detect(text: str) -> list[Detection]:
     automaton, every = _automaton()
     held = {k: places for _, (k, places) in automaton.iter(lowered)}
     tried = sorted({place for places in held.values() for place in places})
-    found = [Detection(m.start(), m.end(), every[place]) for place in tried for m in every[place].pattern.finditer(lowered)]
+    return accepted(Detection(m.start("id") if "id" in every[place].pattern.groupindex else m.start(), m.end(), every[place]) for place in tried for m in every[place].pattern.finditer(lowered))
+
+
+def accepted(detections: Iterable[Detection]) -> list[Detection]:
+    """Detections less those within one of higher rank, in the order of the text."""
+    found = list(detections)
     found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
     longest = max((d.end - d.start for d in found), default=0)
-    accepted: list[tuple[int, int, int]] = []  # start, end, place in found: by start, so that only near ones are looked at
+    kept: list[tuple[int, int, int]] = []  # start, end, place in found: by start, so that only near ones are looked at
     for k, d in enumerate(found):
-        at = bisect.bisect_right(accepted, (d.start, float("inf"))) - 1
+        at = bisect.bisect_right(kept, (d.start, float("inf"))) - 1
         inside = False
-        while at >= 0 and accepted[at][0] >= d.start - longest and not inside:
-            inside = accepted[at][1] >= d.end
+        while at >= 0 and kept[at][0] >= d.start - longest and not inside:
+            inside = kept[at][1] >= d.end
             at -= 1
         if not inside:
-            bisect.insort(accepted, (d.start, d.end, k))
-    return [found[k] for _, _, k in accepted]
+            bisect.insort(kept, (d.start, d.end, k))
+    return [found[k] for _, _, k in kept]
 
 
 def word_places(text: bytes, phrases: dict[str, str] = BASE_PHRASES) -> tuple[int, list[tuple[int, str]]]:
@@ -264,7 +388,10 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
                 hits = detect(t)
                 base = sorted({label for _, label in places})
                 miss = (1 - BASE_CONFIDENCE) if places else 1.0
-                for confidence in {d.rule.label: d.rule.confidence for d in hits}.values():
+                best: dict[str, float] = {}
+                for d in hits:
+                    best[d.rule.label] = max(d.rule.confidence, best.get(d.rule.label, 0.0))
+                for _, confidence in sorted(best.items()):
                     miss *= 1 - confidence
                 rows.append((n, len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(sorted({*base, *(d.rule.label for d in hits)})), 1 - miss, [{"label": d.rule.label, "form": d.rule.form, "start": d.start, "end": d.end} for d in hits]))
             out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
