@@ -11,8 +11,7 @@ Spark's shuffle and sort deliver them to blocks of ARITY ** LEVELS neighbours in
 messages within a block are in a heap, at most a few per level. So no tree, of whatever size, is in one task, and the driver
 sees one number: the length of the longest group.
 
-Places in a group are counted over range partitions: rows are sorted by (group, order, leaf), and a row's place is its number
-within the partition plus what the group has in earlier ones.
+Places in a group are those of ``operators.positions``: counted over range partitions, by (order, leaf).
 
 Defined results: a null group is a group of its own, the first; within a group a null order key comes first and equal ones
 go by leaf digest, so rows that are alike in all fields are interchangeable; null fields count as ``-``, empty texts as ``0:``;
@@ -28,10 +27,11 @@ from hashlib import sha256
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantsieve.llm._shared import small, table
+from quantsieve.llm._shared import table
+from quantsieve.operators.positions import positions
 
 #: Children of a node at most, and levels that one sweep over a block goes through.
 ARITY, LEVELS = 3, 6
@@ -64,19 +64,6 @@ def height(n: int) -> int:
     return up
 
 
-def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """rows with their place (pos) in their group (grp) by order, and the group's size (n); a table."""
-    keys = ["grp", *order]
-    spread = table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "placed")
-    spread = spread.withColumn("_part", F.shiftright("_at", 33))
-    runs = spread.groupBy("grp", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    # A window over a group holds one row for each partition that the group reaches.
-    whole = Window.partitionBy("grp")
-    runs = runs.select("grp", "_part", "_first", (F.sum("_n").over(whole.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
-    out = spread.join(small(table(runs, "runs")), ["grp", "_part"])
-    return out.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("pos"), "n")
-
-
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
@@ -214,10 +201,10 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     differs = reduce(Column.__or__, [~F.col(f).eqNullSafe(c) for f, c in found.items() if f in (tampered or {})], F.lit(False))
     group_key = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     rows = docs.select(F.col(order).alias("_id"), group_key.alias("grp"), leaf([F.col(f) for f in fields]).alias("digest"), F.when(differs, leaf(list(found.values()))).alias("now"))
-    trees = _bands(placed(table(rows, "leaves"), ["_id", "digest"]))
+    trees = _bands(positions(table(rows, "leaves"), ["_id", "digest"], ["grp"]))
     # The groups' roots, in order of their groups, as the leaves of a last tree.
     roots = trees[-1].select(F.lit("").alias("grp"), F.col("grp").alias("name"), "digest")
-    tops = _bands(placed(roots, ["name"]))
+    tops = _bands(positions(roots, ["name"], ["grp"]))
     empty = F.lit(b"").alias("sib"), F.lit(b"").alias("shape")
     start = tops[-1].select("grp", F.lit(0).cast("long").alias("block"), *empty, F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
     named = _delivered(tops[0], _downwards(tops, start), ["name"], lambda r, sib, shape, _, root: (r["name"], 0, sib, shape, r["digest"], root), _PROOFS)
