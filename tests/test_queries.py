@@ -7,7 +7,7 @@ from quantsieve.plans.queries import ORACLES, QUERIES
 from tests.conftest import rows
 
 #: One of each kind here; the full list runs against the SQL in the driver's gate.
-CHECKED = ["transform_all", "metric_mscore", "factor_scores", "factor_decel_factor", "rank_straight", "rank_inverted", "rank_all_null", "percentrank_inc", "scored_universe", "mscore_flag", "overall_score_scenarios", "config_weight_check", "sector_relative_scores", "screen_table", "screen_topk", "screen_topk_per_sector", "screen_filter_sector", "screen_filter_mcap", "screen_filter_score", "screen_count", "screen_bounds", "screen_facets_sector", "screen_facets_industry", "screen_export", "drill_lookup", "drill_card", "drill_chart_rows", "drill_report", "ingest_multi_file", "ingest_clean_loc", "ingest_scan", "screen_facets_ticker", "stage_raw_roundtrip", "stage_scored_roundtrip", "stage_snapshots", "quality_null_rates", "quality_counts", "quality_missing_columns", "quality_report", "quality_outliers", "parity_factors", "parity_summary", "parity_overall", "parity_mscore", "parity_coverage", "trend_scores", "trend_factors", "backtest_deciles"]
+CHECKED = ["transform_all", "metric_mscore", "factor_scores", "factor_decel_factor", "rank_straight", "rank_inverted", "rank_all_null", "percentrank_inc", "scored_universe", "mscore_flag", "overall_score_scenarios", "config_weight_check", "sector_relative_scores", "screen_table", "screen_topk", "screen_topk_per_sector", "screen_filter_sector", "screen_filter_mcap", "screen_filter_score", "screen_count", "screen_bounds", "screen_facets_sector", "screen_facets_industry", "screen_export", "drill_lookup", "drill_card", "drill_chart_rows", "drill_report", "ingest_multi_file", "ingest_clean_loc", "ingest_scan", "ingest_missing_columns", "refresh_uploads", "rescore_late_rows", "quality_schema_changes", "screen_facets_ticker", "stage_raw_roundtrip", "stage_scored_roundtrip", "stage_snapshots", "quality_null_rates", "quality_counts", "quality_missing_columns", "quality_report", "quality_outliers", "parity_factors", "parity_summary", "parity_overall", "parity_mscore", "parity_coverage", "trend_scores", "trend_factors", "backtest_deciles"]
 
 
 def test_entry(spark):
