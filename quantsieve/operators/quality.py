@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantsieve.operators.ranking import bucketed, ranges_for, unpivot
+from quantsieve.operators.ranking import LARGE, bucketed, ranges_for, unpivot
 from quantsieve.sources.tables import partitions, save, small, staged
 
 NULL_LIMIT, SIZE_CHANGE_LIMIT = 0.10, 0.05
@@ -44,13 +44,14 @@ def snapshot_report(df: DataFrame, fields: Sequence[str], as_of: str = "as_of",
 def quantiles(rows: DataFrame, columns: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """keys, column_name, q, value: the exact quantiles of the columns of a written table, each the least value with a share of at least q up to it.
 
-    By selection, in bounded memory: counts of value ranges tell the range that holds a quantile's rank, and only that range's
+    By selection, in bounded memory: beyond LARGE rows, counts of value ranges tell the range that holds a quantile's rank, and only that range's
     rows are ordered. A value common enough to fill a range is known from the counts alone.
     """
     ids, group = list(keys) or ["_"], [*keys, "factor"]
     source = rows if keys else rows.withColumn("_", F.lit(0))
     long = unpivot(source, ids, {c: c for c in columns}).select(*keys, "factor", "v")
-    put, per = bucketed(long, group, ranges or ranges_for(rows.count()))
+    n = rows.count()
+    put, per = bucketed(long, group, ranges or (ranges_for(n) if n > LARGE else 1))
     wanted = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.ceil(F.lit(float(q)) * F.col("_all")).alias("rank")) for q in qs]))
     asked = per.select("*", wanted.alias("w")).where("_before < w.rank and w.rank <= _before + _n").select(*group, "_bucket", "_cut", "w.q", (F.col("w.rank") - F.col("_before")).alias("_place"))
     asked = staged(asked, "asked")  # a row for each quantile, column and key

@@ -35,8 +35,10 @@ def percent_rank_inc(below: Column, n: Column) -> Column:
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """(keys, factor, v) for each factor -> column, missing values left out."""
-    wide = df.select(*keys, *[F.col(c).cast("double").alias(f) for f, c in columns.items()])
-    return wide.unpivot(list(keys), list(columns), "factor", "v").where("v is not null and not isnan(v)")
+    # One array to explode, not a projection for each factor, which Java compiles slowly where there are many.
+    values = F.array(*[F.col(c).cast("double") for c in columns.values()])
+    long = df.select(*keys, F.posexplode(values).alias("_place", "v")).where("v is not null and not isnan(v)")
+    return long.select(*keys, F.get(F.array(*map(F.lit, columns)), F.col("_place")).alias("factor"), "v")
 
 
 def _by_window(long: DataFrame, group: list[str]) -> DataFrame:
