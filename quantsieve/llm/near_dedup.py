@@ -90,6 +90,11 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 20
     return best
 
 
+def short_signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+    """The low byte of each minimum. Equal minima have equal bytes, so comparing these rules out no pair that comparing minima would not."""
+    return signature(shingles, a, b).astype(np.uint8).tobytes()
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     acc = np.arange(bands, dtype=np.uint64)
     for part in sig[: bands * rows].reshape(bands, rows).T:
@@ -187,18 +192,21 @@ def confirm(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, k: int, pe
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
     placed = members.select("node", "grp").join(sizes, "grp").select("node", "grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
+    bands, rows = plan_bands(percent / 100)
+    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
+
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = hash_family(bands * rows)
         for pdf in batches:
             made = [shingle_set(t, k) for t in pdf.pop("text")]
-            yield pdf.assign(shingles=[s.tobytes() for s in made])
+            # In groups of many blocks a set meets many others: its signature is made once and sent along.
+            sent = [short_signature(s, a, b) if n > 1 else b"" for s, n in zip(made, pdf["blocks"])]
+            yield pdf.assign(shingles=[s.tobytes() for s in made], sig=sent)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where("text is not null")
-    held = texts.join(placed, "node").select("node", "grp", "blocks", "block", "text").mapInPandas(sets, "node long, grp long, blocks int, block int, shingles binary")
-    pairs = held.select("node", "grp", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("node", "grp", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    bands, rows = plan_bands(percent / 100)
-    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
+    held = texts.join(placed, "node").select("node", "grp", "blocks", "block", "text").mapInPandas(sets, "node long, grp long, blocks int, block int, shingles binary, sig binary")
+    pairs = held.select("node", "grp", "block", "shingles", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("node", "grp", "block", "shingles", "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
@@ -207,7 +215,7 @@ def confirm(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, k: int, pe
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if len(left) and len(right) and len(made) > 2:
             a, b = hash_family(bands * rows)
-            sig = np.stack([signature(s, a, b) for s in made])
+            sig = np.stack([np.frombuffer(s or short_signature(x, a, b), np.uint8) for s, x in zip(pdf["sig"], made)])
             alike = np.zeros((len(left), len(right)), np.uint16)
             for col in range(sig.shape[1]):
                 alike += sig[left, col][:, None] == sig[right, col][None, :]

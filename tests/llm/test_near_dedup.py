@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
+from quantsieve.llm import components as components_module
 from quantsieve.llm import near_dedup
 from quantsieve.llm.components import components
 from tests.llm.conftest import ODD
@@ -63,7 +65,21 @@ def test_bands_miss_little():
         assert (1 - t**width) ** bands <= 1e-6 and bands * width <= near_dedup.MAX_HASHES
 
 
-def test_components(spark):
+def test_short_signatures_rule_out_no_pair():
+    rng = random.Random(2)
+    a, b = near_dedup.hash_family(352)
+    sets = [near_dedup.shingle_set(t, 3) for t in family(rng, 30, 150, 40)]
+    full = [near_dedup.signature(s, a, b) for s in sets]
+    short = [np.frombuffer(near_dedup.short_signature(s, a, b), np.uint8) for s in sets]
+    for x in range(30):
+        for y in range(x):
+            assert (short[x] == short[y])[full[x] == full[y]].all()
+
+
+@pytest.mark.parametrize("hub_links", [2, 30, 200])
+def test_components(spark, monkeypatch, hub_links):
+    """With every node of three links a hub, with few hubs, and with none."""
+    monkeypatch.setattr(components_module, "HUB_LINKS", hub_links)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)] + [(7, 7)]
     rng.shuffle(links)
