@@ -10,6 +10,11 @@ A fixed ``max_word_distance`` of 0.5 is hardly ever exceeded: where a sixth of a
 text without any stands 0.3 off. ``max_word_share`` sets the limit by language instead, as a share of the distance of
 such a text, and matches common words in lower case and without the punctuation around them.
 
+The common words are fixed lists of four languages, or, by ``common``, those that most documents of a language hold
+(``common_words``), so that any language is measured against words of its own. ``min_reference_docs`` leaves documents
+that fail the base rule out of the references, and languages with fewer others than that without one: their documents
+are judged by the base rule alone, as a few documents would only be compared to themselves.
+
 Defined results: a null text counts as empty, and fails the base rule (under 50 words); rows of a null or
 unlisted language are compared to their own kind like any other, over the common words of all listed
 languages; repeated rows are judged each; an empty table gives an empty table. Columns added replace
@@ -21,7 +26,7 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantsieve.llm._shared import SPACE, small, table, words
@@ -32,6 +37,8 @@ SYMBOLS = "#*$%&|<>"
 #: Stripped from both ends of a word before it is matched with max_word_share.
 PUNCTUATION = string.punctuation + "«»„“”‚‘’…¿¡–—"
 WINDOW = 3
+#: Parts that a language's vocabulary is dealt to before its commonest words are chosen.
+VOCABULARY_PARTS = 64
 # The commonest function words of four languages.
 COMMON_WORDS = {
     "en": "the of and to in a is that for on with was".split(),
@@ -39,6 +46,8 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est".split(),
     "es": "de la que el en y a los se del las un".split(),
 }
+#: The parameters of the query and of the pipeline.
+PRODUCTION = {"max_word_share": 0.75, "common": 16, "min_reference_docs": 20}
 ALL_COMMON = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
 
@@ -53,23 +62,52 @@ def _common_list(lang: Column) -> Column:
     return chosen
 
 
-def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", fold: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+def _folded_word(w: Column) -> Column:
+    return F.trim(F.lower(w), F.lit(PUNCTUATION))
+
+
+def common_words(docs: DataFrame, common: int, min_words: int = 50, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per language: _qs_in, and _qs_list, the ``common`` folded words that most of its documents hold, commonest first, ties in the order of the words.
+
+    Documents of at least min_words words count, each once for every way it writes a word, so that no document's repeats weigh.
+    Counts are combined before the shuffle and words folded after it; a language's vocabulary is cut to its best in parts by
+    hash first, so that no task holds a whole vocabulary.
+    """
+    ws = docs.select(F.col(lang).alias("_qs_in"), words(F.coalesce(F.col(text), F.lit(""))).alias("ws")).where(F.size("ws") >= min_words)
+    written = ws.select("_qs_in", F.explode(F.array_distinct("ws")).alias("w")).groupBy("_qs_in", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = written.groupBy("_qs_in", _folded_word(F.col("w")).alias("w")).agg(F.sum("n").alias("n")).where("w <> ''")
+
+    def best(df: DataFrame, *by: str | Column) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "w"))).where(F.col("r") <= common)
+
+    chosen = best(best(counts, "_qs_in", F.pmod(F.xxhash64("w"), F.lit(VOCABULARY_PARTS))), "_qs_in")
+    return chosen.groupBy("_qs_in").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("_qs_list"))
+
+
+def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang", fold: bool = False, keep: Sequence[str] | None = None, lists: DataFrame | None = None) -> DataFrame:
     """docs with the counts (long), _qs_lang, and the histograms _qs_chars (by CHAR_CLASSES) and _qs_common (other words, then each common word), both array<long>.
 
     fold: common words also count in upper case and next to punctuation. keep: the columns of docs to return, all if None.
+    lists: common words by language, as common_words gives them, in place of the fixed ones; a language without any has no histogram but of other words.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
     whole = F.coalesce(F.col(text), F.lit(""))
     ws, n, at_least = F.col("_qs_words"), F.size("_qs_words"), F.lit(0)
-    matched = F.transform(ws, lambda w: F.trim(F.lower(w), F.lit(PUNCTUATION))) if fold else ws
+    matched = F.transform(ws, _folded_word) if fold else ws
     df = docs.select(*kept, F.col(lang).alias("_qs_lang"), whole.alias("_qs_text"), words(whole).alias("_qs_words"))
+    if lists is None:
+        found, sought = F.filter(matched, lambda w: w.isin(ALL_COMMON)), _common_list(F.col("_qs_lang"))
+    else:
+        df = df.join(small(lists), F.col("_qs_lang").eqNullSafe(F.col("_qs_in")), "left").withColumn("_qs_list", F.coalesce("_qs_list", F.array().cast("array<string>")))
+        # Places in the list stand for the words, so that each word is compared to the list once.
+        found, sought = F.filter(F.transform(matched, lambda w: F.array_position("_qs_list", w)), lambda p: p > 0), F.transform("_qs_list", lambda w, i: (i + 1).cast("long"))
     starts = F.sequence(at_least, F.greatest(n - WINDOW, at_least))
     df = df.withColumns(
         {
             "_qs_all": F.array_join(ws, ""),
             "_qs_lines": F.filter(F.split("_qs_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
             "_qs_hashes": F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
-            "_qs_found": F.filter(matched, lambda w: w.isin(ALL_COMMON)),
+            "_qs_found": found,
         }
     )
     # Equal windows stand together once sorted; texts that repeat none skip the sort.
@@ -86,7 +124,7 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     df = df.withColumn("_qs_no_point", _without("_qs_no_digit", r".,;:!?'\"()\-"))
     df = df.withColumn("_qs_rest", _without("_qs_no_point", SYMBOLS))
     left = [F.length(c).cast("long") for c in ("_qs_all", "_qs_no_lower", "_qs_no_upper", "_qs_no_digit", "_qs_no_point", "_qs_rest")]
-    counts = F.transform(_common_list(F.col("_qs_lang")), lambda w: F.size(F.filter("_qs_found", lambda x: x == w)).cast("long"))
+    counts = F.transform(sought, lambda w: F.size(F.filter("_qs_found", lambda x: x == w)).cast("long"))
     return df.select(
         *kept,
         "_qs_lang",
@@ -100,13 +138,14 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     )
 
 
-def language_references(features: DataFrame) -> DataFrame:
-    """One row per language: _qs_of, and _qs_ref_chars and _qs_ref_common, the summed histograms of all its documents."""
+def language_references(features: DataFrame, entries: int = len(ALL_COMMON), min_docs: int = 0) -> DataFrame:
+    """One row per language of at least min_docs rows: _qs_of, and _qs_ref_chars and _qs_ref_common (entries common words), the summed histograms of its rows."""
 
     def total(c: str, n: int) -> Column:
         return F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(n)])
 
-    return features.groupBy(F.col("_qs_lang").alias("_qs_of")).agg(total("_qs_chars", len(CHAR_CLASSES)).alias("_qs_ref_chars"), total("_qs_common", len(ALL_COMMON) + 1).alias("_qs_ref_common"))
+    sums = features.groupBy(F.col("_qs_lang").alias("_qs_of")).agg(total("_qs_chars", len(CHAR_CLASSES)).alias("_qs_ref_chars"), total("_qs_common", entries + 1).alias("_qs_ref_common"), F.count(F.lit(1)).alias("_qs_docs"))
+    return sums.where(F.col("_qs_docs") >= min_docs).drop("_qs_docs")
 
 
 def shares(h: Column) -> Column:
@@ -135,19 +174,24 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return shares_distance(shares(p), shares(q))
 
 
-def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, max_word_share: float | None = None, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_distance: float = 0.5, min_words: int = 50, max_repeated_percent: int = 50, *, max_word_share: float | None = None, common: int | None = None, min_reference_docs: int | None = None, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
     """docs with the counts of quality_features, char_distance and word_distance (null under min_words words), base_failed and kept.
 
     keep names the columns of docs to return (all if None). Counts and histograms are made in one pass over the texts and
     written; the references are sums over that table, one row per language, broadcast where few and joined by shuffle
     else. Documents are never shuffled for the former. With max_word_share the limit of word_distance is that share of the
-    distance of a text without common words from the language's reference, and max_word_distance is not used.
+    distance of a text without common words from the language's reference, and max_word_distance is not used. common takes
+    one more pass over the texts, which shuffles counts by word. Documents of a language without a reference have null distances.
     """
     added = ("char_distance", "word_distance", "base_failed", "kept")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    features = table(quality_features(docs, text=text, lang=lang, fold=max_word_share is not None, keep=kept), "quality-features")
+    lists = None if common is None else table(common_words(docs, common, min_words, text=text, lang=lang), "common-words")
+    fold = max_word_share is not None or lists is not None
+    features = table(quality_features(docs, text=text, lang=lang, fold=fold, keep=kept, lists=lists), "quality-features")
+    base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
+    measured = features if min_reference_docs is None else features.where(~base_failed)
     limit = F.lit(max_word_distance) if max_word_share is None else max_word_share * jensen_shannon(F.array(F.lit(1).cast("long")), F.col("_qs_ref_common"))
-    refs = language_references(features).withColumn("_qs_limit", limit.cast("double"))
+    refs = language_references(measured, len(ALL_COMMON) if common is None else common, min_reference_docs or 0).withColumn("_qs_limit", limit.cast("double"))
     refs = small(table(refs.withColumns({c: shares(F.col(c)) for c in ("_qs_ref_chars", "_qs_ref_common")}), "references"))
     joined = features.join(refs, F.col("_qs_lang").eqNullSafe(F.col("_qs_of")), "left")
     joined = joined.withColumns({"_qs_chars": shares(F.col("_qs_chars")), "_qs_common": shares(F.col("_qs_common"))})
@@ -156,7 +200,7 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.3, max_word_dist
         *[c for c in features.columns if c in COUNTS or c in kept],
         F.when(judged, shares_distance(F.col("_qs_chars"), F.col("_qs_ref_chars"))).alias("char_distance"),
         F.when(judged, shares_distance(F.col("_qs_common"), F.col("_qs_ref_common"))).alias("word_distance"),
-        ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))).alias("base_failed"),
+        base_failed.alias("base_failed"),
         "_qs_limit",
     )
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | F.coalesce(F.col("word_distance") > F.col("_qs_limit"), F.lit(False))

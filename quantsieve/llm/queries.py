@@ -73,23 +73,27 @@ FROM judged GROUP BY doc_id
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_rules(read(spark, sf_dir, "documents"), max_word_share=0.7, keep=["doc_id"])
+    judged = quality_rules.quality_rules(read(spark, sf_dir, "documents"), keep=["doc_id"], **quality_rules.PRODUCTION)
     return judged.drop("char_distance", "word_distance")
 
 
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
 _MARKS = quality_rules.PUNCTUATION.replace("'", "''")
-_LISTS = " ".join(f"WHEN '{code}' THEN {_list(ws)}" for code, ws in quality_rules.COMMON_WORDS.items())
 ORACLES["op9_quality_rules"] = (
     r"""
-WITH split AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-         CASE lang """
-    + f"{_LISTS} ELSE {_list(quality_rules.ALL_COMMON)}"
-    + r""" END AS common FROM documents
+WITH texts AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), split AS (
+  SELECT *, list_transform(ws, lambda w: trim(lower(w), '"""
+    + _MARKS
+    + r"""')) AS folded FROM texts
+), holding AS (
+  SELECT lang, w, count(*) AS n FROM (
+    SELECT lang, trim(lower(form), '"""
+    + _MARKS
+    + r"""') AS w FROM (SELECT lang, unnest(list_distinct(ws)) AS form FROM texts WHERE len(ws) >= 50)
+  ) WHERE w <> '' GROUP BY ALL
+), commonest AS (
+  SELECT lang, list(w ORDER BY r) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM holding) WHERE r <= 16 GROUP BY lang
 ), windows AS (
   SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM split)
 ), again AS (
@@ -99,7 +103,7 @@ WITH split AS (
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), stripped AS (
-  SELECT *, array_to_string(ws, '') AS c0 FROM split
+  SELECT s.*, coalesce(c.common, []) AS common, array_to_string(ws, '') AS c0 FROM split s LEFT JOIN commonest c ON s.lang IS NOT DISTINCT FROM c.lang
 ), stripped1 AS (SELECT *, regexp_replace(c0, '\p{Ll}+', '', 'g') AS c1 FROM stripped
 ), stripped2 AS (SELECT *, regexp_replace(c1, '\p{Lu}+', '', 'g') AS c2 FROM stripped1
 ), stripped3 AS (SELECT *, regexp_replace(c2, '[0-9]+', '', 'g') AS c3 FROM stripped2
@@ -108,15 +112,17 @@ WITH split AS (
 ), counted AS (
   SELECT *, [length(c0) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)] AS chars,
          list_transform(common, lambda c: len(list_filter(folded, lambda x: x = c))) AS found
-  FROM (SELECT *, list_transform(ws, lambda w: trim(lower(w), '"""
-    + _MARKS
-    + r"""')) AS folded FROM stripped5)
+  FROM stripped5
+), based AS (
+  SELECT c.doc_id, c.lang, len(ws) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(ws) AS failed FROM counted c LEFT JOIN again USING (doc_id)
+), measured AS (
+  SELECT lang FROM based WHERE NOT failed GROUP BY lang HAVING count(*) >= 20
 ), histograms AS (
   SELECT doc_id, lang, 'chars' AS kind, unnest(range(1, 7)) AS pos, unnest(chars) AS v FROM counted
   UNION ALL
-  SELECT doc_id, lang, 'words', unnest(range(0, len(found) + 1)), unnest(list_prepend((len(ws) - list_sum(found))::BIGINT, found)) FROM counted
+  SELECT doc_id, lang, 'words', unnest(range(0, len(found) + 1)), unnest(list_prepend((len(ws) - coalesce(list_sum(found), 0))::BIGINT, found)) FROM counted
 ), refs AS (
-  SELECT lang, kind, pos, sum(v) AS v FROM histograms GROUP BY ALL
+  SELECT h.lang, kind, pos, sum(v) AS v FROM histograms h JOIN based b USING (doc_id) JOIN measured m ON h.lang IS NOT DISTINCT FROM m.lang WHERE NOT b.failed GROUP BY ALL
 ), shares AS (
   SELECT h.doc_id, h.lang, h.kind, h.v / nullif(sum(h.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS p, r.v / nullif(sum(r.v) OVER (PARTITION BY h.doc_id, h.kind), 0) AS q
   FROM histograms h JOIN refs r ON h.lang IS NOT DISTINCT FROM r.lang AND h.kind = r.kind AND h.pos = r.pos
@@ -125,17 +131,16 @@ WITH split AS (
 ), empty AS (
   SELECT lang, (pos = 0)::INT::DOUBLE AS p, v / nullif(sum(v) OVER (PARTITION BY lang), 0) AS q FROM refs WHERE kind = 'words'
 ), word_limits AS (
-  SELECT lang, 0.7 * sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS most FROM empty GROUP BY lang
-), limits AS (
+  SELECT lang, 0.75 * sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS most FROM empty GROUP BY lang
+), far_off AS (
   SELECT doc_id, coalesce(bool_or(far > CASE kind WHEN 'chars' THEN 0.3 ELSE most END), FALSE) AS far
   FROM distances d LEFT JOIN word_limits w ON d.lang IS NOT DISTINCT FROM w.lang GROUP BY doc_id
 ), rules AS (
-  SELECT doc_id, len(ws) AS n_words, length(c0) AS word_chars, length(c4) - length(c5) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
-  FROM counted LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)
+  SELECT doc_id, failed, len(ws) AS n_words, length(c0) AS word_chars, length(c4) - length(c5) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM counted JOIN based USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT far AS kept
-FROM rules JOIN limits USING (doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT coalesce(far, FALSE) AS kept
+FROM rules LEFT JOIN far_off USING (doc_id)
 """
 )
 

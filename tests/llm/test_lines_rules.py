@@ -115,3 +115,73 @@ def test_word_share_rejects_texts_without_common_words(spark, docs_of):
     r = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, max_word_share=0.7).collect()}
     assert r[20]["word_distance"] < 0.1 < r[21]["word_distance"] < 0.5 and r[22]["word_distance"] is None
     assert "_qs_limit" not in quality_rules.quality_rules(docs).columns
+
+
+def brute_common(docs, common, min_words=50):
+    held = {}
+    for lang, t in docs:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if len(ws) >= min_words:
+            held.setdefault(lang, Counter()).update(w.lower().strip(quality_rules.PUNCTUATION) for w in set(ws))
+    return {lang: sorted((w for w in n if w), key=lambda w: (-n[w], w.encode()))[:common] for lang, n in held.items()}
+
+
+def test_common_words_against_brute_force(spark):
+    """Every language has words of its own, a null one too; short texts don't count; ties go by the words; repeats within a text don't weigh."""
+    stems = [f"{a}{b}" for a in "bdfgkl" for b in "aeiou"]
+    docs = []
+    for i in range(60):
+        lang = ["xx", "yy", None][i % 3]
+        ws = [stems[(k * (i % 7 + 1)) % (9 + i % 20)] for k in range(45 + i % 11)]
+        docs.append((lang, " ".join(w.title() + "," if k % 5 == i % 5 else w for k, w in enumerate(ws)) + " -- «É» É"))
+    docs += [("xx", "zz " * 5000), ("short", "one two"), ("yy", None), ("yy", "")]
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(7)
+    for common in (3, 16, 500):
+        got = {r["_qs_in"]: r["_qs_list"] for r in quality_rules.common_words(df, common).collect()}
+        assert got == brute_common(docs, common)
+    assert quality_rules.common_words(df.limit(0), 5).count() == 0
+
+
+def test_counts_of_derived_words_against_brute_force(spark, docs_of):
+    """Histograms of the words found: one entry a word, in the order of the list, folded; others first."""
+    texts = ["The cat, THE dog. the «cat» " * 20, "cat the bird " * 30, *ODD]
+    docs = docs_of(texts).withColumn("lang", F.expr("if(doc_id = 1, 'zz', lang)"))
+    lists = spark.createDataFrame([("en", ["the", "cat", "eel"])], "_qs_in string, _qs_list array<string>")
+    got = {r["doc_id"]: r["_qs_common"] for r in quality_rules.quality_features(docs, fold=True, keep=["doc_id"], lists=lists).collect()}
+    assert got[0] == [20, 60, 40, 0] and got[1] == [90]
+    assert all(got[i + 2] == [len((t or "").split()), 0, 0, 0] for i, t in enumerate(ODD))
+
+
+def prose(i, common, n=80):
+    """A text of its own words of one shape; every fourth is a common one, where any is given."""
+    own = [f"thn{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + (k // 26 + i // 26) % 26)}ou" for k in range(n)]
+    return " ".join(common[k // 4 % len(common)] if common and k % 4 == 0 else w for k, w in enumerate(own))
+
+
+def test_derived_words_of_an_unlisted_language(docs_of):
+    """A text without its language's common words goes, though no list of that language is written anywhere; a language of few documents is judged by the base rule alone."""
+    own = "ja on ei se että oli hän mutta niin kun".split()
+    docs = docs_of([*[prose(i, own) for i in range(40)], prose(41, None), prose(42, None)]).withColumn("lang", F.expr("if(doc_id = 41, 'few', 'fi')"))
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, **quality_rules.PRODUCTION).collect()}
+    assert all(rows[i]["kept"] for i in range(40))
+    assert not rows[40]["kept"] and not rows[40]["base_failed"]
+    assert rows[41]["kept"] and rows[41]["word_distance"] is None and rows[41]["char_distance"] is None
+
+
+def test_references_leave_rejected_documents_out(docs_of):
+    """Junk that fails the base rule moves no reference: distances of the rest are those without it."""
+    good = [prose(i, "the of and to in a is that".split()) for i in range(30)]
+    junk = ["%%% ### " * 100 for _ in range(60)]
+    options = quality_rules.PRODUCTION | {"common": 8}
+    with_junk, without = ({r["doc_id"]: r["char_distance"] for r in quality_rules.quality_rules(docs_of(t), **options).where("doc_id < 30").collect()} for t in ([*good, *junk], good))
+    assert with_junk == pytest.approx(without) and max(without.values()) < 0.3
+    default = quality_rules.quality_rules(docs_of([*good, *junk]), max_word_share=0.75).where("doc_id < 30").agg(F.min("char_distance")).first()[0]
+    assert default > max(without.values())
+
+
+def test_production_rules_on_odd_rows(docs_of):
+    docs = docs_of([*ODD, LONG], ids=[None, 1, 1, 2, 3, 4, 4, None], w="x", r=1, n=2, ws="y", lang=None, common="z").withColumn("lang", F.lit(None).cast("string"))
+    got = quality_rules.quality_rules(docs, **quality_rules.PRODUCTION)
+    assert got.columns[: len(docs.columns)] == docs.columns and got.count() == 8
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert quality_rules.quality_rules(docs_of([]), **quality_rules.PRODUCTION).count() == 0
