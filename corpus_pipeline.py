@@ -21,7 +21,7 @@ from quantsieve.llm._shared import table, with_code
 @with_code
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.quality_filter(docs, max_word_share=0.7)
+    return quality_rules.quality_filter(docs, **quality_rules.PRODUCTION)
 
 
 @with_code
