@@ -73,10 +73,11 @@ def in_ranges(long: DataFrame, cuts: DataFrame, group: list[str], buckets: int)
 def bucketed(long: DataFrame, group: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
     """(long with _v, the range _bucket and whether _v is the cut point that begins it (_cut); a row for each _bucket and _cut with _n rows, _before and _all in the group).
 
-    No group is ever one task. Cut points are approximate, which moves the borders of ranges and no result.
+    No group is ever one task. Cut points are approximate, which moves the borders of ranges and no result, but they differ each time
+    they are made (sketches are merged in the order they arrive in): they are written, so that both tables have the same.
     """
     long = long.withColumn("_v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
-    put = in_ranges(long, cut_points(long, group, buckets), group, buckets)
+    put = in_ranges(long, staged(cut_points(long, group, buckets), "cuts"), group, buckets)
     # Rows at a cut point come before the others of its range.
     below = Window.partitionBy(*group).orderBy("_bucket", F.desc("_cut"))
     per = put.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n"))

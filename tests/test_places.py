@@ -101,6 +101,17 @@ def test_quantiles_are_exact(spark, keys, ranges):
     assert got == {(*k, q): sorted(v)[math.ceil(q * len(v)) - 1] for k, v in groups.items() for q in qs}
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_cut_points_are_made_once(spark, keys, monkeypatch):
+    """Cut points come out a little different each time they are made: ranges are counted and read by the same ones."""
+    plain = ranking.cut_points
+    monkeypatch.setattr(ranking, "cut_points", lambda *a: plain(*a).withColumn("_r", F.expr("double(reflect('java.lang.Math', 'random'))")).withColumn("_cuts", F.transform("_cuts", lambda c: c + F.col("_r"))).drop("_r"))
+    df, qs = made(spark), [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = quality.quantiles(tables.staged(df, "rows"), ["y"], qs, keys, 64)
+    want = df.where("y is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("y")).alias("ys")).collect()
+    assert {(r["g"] if keys else None, r["q"], r["value"]) for r in got.collect()} == {(r["g"] if keys else None, q, r["ys"][math.ceil(q * len(r["ys"])) - 1]) for r in want for q in qs}
+
+
 def test_quantiles_of_many_rows(spark):
     n = 3_000_000
     df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") / 7).alias("y"))
