@@ -27,6 +27,8 @@ RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 500_000, 64, 16_384
 BUCKETS = 256
 #: Tasks that the rows of one cut value are dealt to.
 SALTS = 64
+#: Most cut points, and counts of ranges, that are sent to every executor.
+CUT_POINTS, COUNTS = 2_000_000, 200_000
 
 
 def percent_rank_inc(below: Column, n: Column) -> Column:
@@ -61,12 +63,11 @@ def in_ranges(long: DataFrame, cuts: DataFrame, group: list[str], buckets: int)
     if group == ["factor"]:
         cuts = F.broadcast(cuts)  # one row per metric
     same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    # Cut points are searched in two steps: the first of every step, then those after it.
-    step = max(1, round(buckets**0.5))
-    first = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_cuts") - 1, F.lit(0)), F.lit(step)), lambda i: F.get("_cuts", i)), lambda x: x <= F.col("_v")))
-    at = F.greatest(first - 1, F.lit(0)) * step
-    put = long.alias("a").join(cuts.alias("b"), same).select("a.*", "_cuts", at.alias("_at"))
-    put = put.select(*kept, "_v", (F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(step)), lambda x: x <= F.col("_v")))).alias("_bucket"), "_cuts")
+    put = long.alias("a").join(cuts.alias("b"), same).select("a.*", "_cuts", F.lit(0).alias("_bucket"))
+    # The number of cut points up to _v, bit by bit from the highest, in compiled code.
+    for bit in reversed(range(buckets.bit_length())):
+        reached = F.coalesce(F.get("_cuts", F.col("_bucket") + (2**bit - 1)) <= F.col("_v"), F.lit(False))
+        put = put.select(*kept, "_v", "_cuts", (F.col("_bucket") + F.when(reached, 2**bit).otherwise(0)).alias("_bucket"))
     return put.select(*kept, "_v", "_bucket", F.coalesce(F.get("_cuts", F.col("_bucket") - 1) == F.col("_v"), F.lit(False)).alias("_cut"))
 
 
@@ -77,12 +78,14 @@ def bucketed(long: DataFrame, group: list[str], buckets: int) -> tuple[DataFrame
     they are made (sketches are merged in the order they arrive in): they are written, so that both tables have the same.
     """
     long = long.withColumn("_v", F.col("v") + F.lit(0.0))  # -0.0 is 0.0
-    put = in_ranges(long, staged(cut_points(long, group, buckets), "cuts"), group, buckets)
+    cuts = small(staged(cut_points(long, group, buckets), "cuts"), CUT_POINTS // buckets)
+    put = in_ranges(long, cuts, group, buckets)
     # Rows at a cut point come before the others of its range.
     below = Window.partitionBy(*group).orderBy("_bucket", F.desc("_cut"))
     per = put.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n"))
     per = per.select(*group, "_bucket", "_cut", "_n", (F.sum("_n").over(below) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_all"))
-    return put, F.broadcast(per) if group == ["factor"] else per  # two rows per range
+    per = staged(per, "ranges")  # two rows per range
+    return put, F.broadcast(per) if group == ["factor"] else small(per, COUNTS)
 
 
 def _by_buckets(long: DataFrame, group: list[str], buckets: int) -> DataFrame:
@@ -144,6 +147,7 @@ def join_scores(rows: DataFrame, ranked: DataFrame, columns: dict[str, str], inv
     """rows with a score column per factor from ranked (row_id, factor, p)."""
     flip = F.col("factor").isin([f for f in columns if inverted[f]])
     scores = ranked.select(row_id, "factor", F.when(flip, 1 - F.col("p")).otherwise(F.col("p")).alias("p"))
-    wide = scores.groupBy(row_id).pivot("factor", list(columns)).agg(F.first("p"))
+    # Shuffled once as they are: partial results of scattered rows would be a row of all factors each.
+    wide = scores.repartition(row_id).groupBy(row_id).agg(*[F.max(F.when(F.col("factor") == f, F.col("p"))).alias(f) for f in columns])
     joined = rows.join(wide, row_id, "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f), F.lit(float(defaults[f]))).alias(f) for f in columns])

@@ -5,6 +5,7 @@ Amounts are decimals, summed as whole numbers, so results don't depend on the or
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,36 +34,49 @@ def windows(as_of: str) -> dict[str, tuple[str, str]]:
 KINDS = {"all": None, "R": ("l_returnflag", "R"), "A": ("l_returnflag", "A"), "N": ("l_returnflag", "N"), "O": ("l_linestatus", "O"), "F": ("l_linestatus", "F")}
 
 
-def accounts(lineitem: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """One row per part: the amounts <window>_<kind>, counts n_<window>_<kind>, and weighted sums, in one aggregation."""
-    aggs = []
-    spans = windows(as_of)
-    first, last = min(a for a, _ in spans.values()), max(b for _, b in spans.values())
+def last_places(x: Column, digits: int = 2) -> Column:
+    """A double as a whole number of its last decimal place, rounded as a decimal; those that have no more places take no decimal arithmetic."""
+    near = F.rint(x * 10.0**digits)
+    exact = (near / 10.0**digits == x) & (F.abs(near) < 1e15)  # up to 15 digits, a double stands for one decimal
+    return F.when(exact, near.cast("long")).otherwise((x.cast(MONEY) * 10**digits).cast("long"))
+
+
+def accounts(lineitem: DataFrame, as_ofs: Sequence[str] = (AS_OF,)) -> DataFrame:
+    """One row per part and as_of: the amounts <window>_<kind>, counts n_<window>_<kind>, and weighted sums, in one aggregation.
+
+    Lines are shuffled once, as they are: a part's lines are scattered, and partial sums would be rows of all amounts for nearly every line.
+    """
+    spans = [windows(day) for day in as_ofs]
+    names = list(spans[0])
+    days = lineitem.sparkSession.createDataFrame([(day, *[d for w in names for d in s[w]]) for day, s in zip(as_ofs, spans)], "as_of string, " + ", ".join(f"{w}_{side} string" for w in names for side in ("from", "to")))
+    days = days.select(F.col("as_of").cast("date").alias("as_of"), *[F.col(c).cast("timestamp") for c in days.columns[1:]], *[f(*[F.col(f"{w}_{side}") for w in names]).cast("timestamp").alias(f"_{side}") for f, side in ((F.least, "from"), (F.greatest, "to"))])
+    first, last = min(a for s in spans for a, _ in s.values()), max(b for s in spans for _, b in s.values())
     seen = lineitem.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp")) & (F.col("l_shipdate") < F.lit(last).cast("timestamp")))
-    # Each amount is parsed once, and summed as a whole number of its last decimal place.
-    price = F.col("l_extendedprice").cast(MONEY)
-    whole = lambda x, digits: (x * 10**digits).cast("long")
-    seen = seen.select("l_partkey", "l_shipdate", "l_returnflag", "l_linestatus", whole(price, 2).alias("cents"), whole(F.col("l_quantity").cast(MONEY), 2).alias("quantity"), *[whole(price * F.col(f"l_{rate}").cast(MONEY), 4).alias(rate) for rate in ("tax", "discount")])
+    # Each amount is read once, as a whole number of its last decimal place.
+    cents, rates = last_places(F.col("l_extendedprice")), ("tax", "discount")
+    seen = seen.select("l_partkey", "l_shipdate", "l_returnflag", "l_linestatus", cents.alias("cents"), last_places(F.col("l_quantity")).alias("quantity"), *[last_places(F.col(f"l_{rate}")).alias(rate) for rate in rates])
+    met = seen.join(F.broadcast(days), (F.col("l_shipdate") >= F.col("_from")) & (F.col("l_shipdate") < F.col("_to")))
+    inside = {w: (F.col("l_shipdate") >= F.col(f"{w}_from")) & (F.col("l_shipdate") < F.col(f"{w}_to")) for w in names}
+    lines = met.select("l_partkey", "as_of", "l_returnflag", "l_linestatus", "cents", "quantity", *[(F.col("cents") * F.col(rate)).alias(rate) for rate in rates], *[c.alias(f"_{w}") for w, c in inside.items()]).repartition("l_partkey", "as_of")
     total = lambda met, name, digits: F.sum(F.when(met, F.col(name))).cast("double") / 10.0**digits
-    for w, (a, b) in spans.items():
-        inside = (F.col("l_shipdate") >= F.lit(a).cast("timestamp")) & (F.col("l_shipdate") < F.lit(b).cast("timestamp"))
+    aggs = []
+    for w in names:
         for kind, test in KINDS.items():
-            met = inside if test is None else inside & (F.col(test[0]) == test[1])
+            met = F.col(f"_{w}") if test is None else F.col(f"_{w}") & (F.col(test[0]) == test[1])
             aggs.append(total(met, "cents", 2).alias(f"{w}_{kind}"))
             if w in ("y0", "y1"):
                 aggs.append(F.count(F.when(met, 1)).cast("double").alias(f"n_{w}_{kind}"))
-        aggs.append(total(inside & (F.col("l_returnflag") != "R"), "cents", 2).alias(f"{w}_kept"))
+        aggs.append(total(F.col(f"_{w}") & (F.col("l_returnflag") != "R"), "cents", 2).alias(f"{w}_kept"))
         if w in ("y0", "y1"):
-            aggs += [total(inside, rate, 4).alias(f"{w}_{rate}") for rate in ("tax", "discount")]
-    y0 = spans["y0"]
-    inside = (F.col("l_shipdate") >= F.lit(y0[0]).cast("timestamp")) & (F.col("l_shipdate") < F.lit(y0[1]).cast("timestamp"))
-    aggs.append(total(inside, "quantity", 2).alias("y0_quantity"))
-    return seen.groupBy("l_partkey").agg(*aggs)
+            aggs += [total(F.col(f"_{w}"), rate, 4).alias(f"{w}_{rate}") for rate in rates]
+    aggs.append(total(F.col("_y0"), "quantity", 2).alias("y0_quantity"))
+    return lines.groupBy("l_partkey", "as_of").agg(*aggs)
 
 
-def companies(part: DataFrame, lineitem: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """The raw table: _row_id, identity and 77 numbers (null where the order tables say nothing), for one snapshot."""
-    df = part.join(accounts(lineitem, as_of), part["p_partkey"] == F.col("l_partkey"), "left")
+def companies(part: DataFrame, lineitem: DataFrame, as_ofs: Sequence[str] = (AS_OF,)) -> DataFrame:
+    """The raw table: _row_id, identity and 77 numbers (null where the order tables say nothing), and as_of, for each part and snapshot."""
+    each = part.withColumn("as_of", F.explode(F.array(*[F.lit(day).cast("date") for day in as_ofs])))
+    df = each.join(accounts(lineitem, as_ofs).withColumnRenamed("l_partkey", "p_partkey"), ["p_partkey", "as_of"], "left")
     c = F.col
     z = lambda x: F.coalesce(c(x), F.lit(0.0))
     div = lambda a, b: a / F.nullif(b, F.lit(0.0))
@@ -139,17 +153,13 @@ def companies(part: DataFrame, lineitem: DataFrame, as_of: str = AS_OF) -> DataF
         "non_gaap_gaap_ebit": div(ebitda, cfo("y0")),
     }
     empty = {n: F.lit(None).cast("double") for n in HEADERS.values() if n not in values}
-    return df.select(c("p_partkey").alias("_row_id"), *[(values | empty)[n].cast("string" if n in IDENTITY else "double").alias(n) for n in HEADERS.values()])
+    return df.select(c("p_partkey").alias("_row_id"), *[(values | empty)[n].cast("string" if n in IDENTITY else "double").alias(n) for n in HEADERS.values()], "as_of")
 
 
 def read_companies(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    return companies(spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet"), as_of)
+    return read_panel(spark, sf_dir, [as_of]).drop("as_of")
 
 
-def read_panel(spark: SparkSession, sf_dir: str, as_ofs: list[str]) -> DataFrame:
-    """The snapshots of several dates, with as_of."""
-    panel = None
-    for day in as_ofs:
-        snapshot = read_companies(spark, sf_dir, day).withColumn("as_of", F.lit(day).cast("date"))
-        panel = snapshot if panel is None else panel.unionByName(snapshot)
-    return panel
+def read_panel(spark: SparkSession, sf_dir: str, as_ofs: Sequence[str]) -> DataFrame:
+    """The snapshots of several dates, with as_of; order lines are read and shuffled once for all."""
+    return companies(spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet"), as_ofs)

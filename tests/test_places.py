@@ -13,6 +13,7 @@ from quantsieve.operators import quality, ranking
 from quantsieve.operators.history import backtest
 from quantsieve.operators.positions import positions, tile
 from quantsieve.sources import tables
+from quantsieve.sources.universe import last_places, read_panel
 
 
 def made(spark, n=3000, seed=7):
@@ -112,6 +113,31 @@ def test_cut_points_are_made_once(spark, keys, monkeypatch):
     assert {(r["g"] if keys else None, r["q"], r["value"]) for r in got.collect()} == {(r["g"] if keys else None, q, r["ys"][math.ceil(q * len(r["ys"])) - 1]) for r in want for q in qs}
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_a_panel_reads_its_order_lines_once(spark, sf_dir):
+    assert scans(read_panel(spark, sf_dir, ["2000-08-01", "2001-02-01", "2001-08-01"])) == 2  # parts and lines
+
+
+def test_ranges_of_snapshots_are_not_shuffled_again(spark):
+    """Rows are shuffled to be ranked in their range, and not to be met with cut points or counts."""
+    rows = tables.staged(made(spark), "rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be broadcast by themselves
+    try:
+        plan = ranking.rank_table(rows, {"fx": "x", "fy": "y"}, "_row_id", ["g"], 1000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+
+
+def test_last_places(spark):
+    values = [0.07, 1.005, -2.675, 901.0, 104949.5, 1e14, 123456789012.34, 0.1 + 0.2, -0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(last_places(F.col("x"))).collect()] == [r[0] for r in df.select((F.col("x").cast("decimal(18,2)") * 100).cast("long")).collect()]
+
+
 def test_quantiles_of_many_rows(spark):
     n = 3_000_000
     df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") / 7).alias("y"))
