@@ -257,7 +257,11 @@ def _messy(df: DataFrame, columns: list[str]) -> DataFrame:
     numbers = [c for c in columns if c not in IDENTITY]
 
     def text(s: Column, i: Column) -> Column:
-        s = F.regexp_replace(s, r"(?<!\.\d{0,30})(?<=\d)(?=(\d{3})+(?:\.|$))", ",")
+        # Up to three digits take no comma, up to six one; a pattern is sought in the rest alone.
+        point = F.instr(s, ".")
+        digits = point - F.when(s.startswith("-"), 2).otherwise(1)
+        several = F.regexp_replace(s, r"(?<!\.\d{0,30})(?<=\d)(?=(\d{3})+(?:\.|$))", ",")
+        s = F.when((point > 0) & (digits <= 3), s).when((point > 0) & (digits <= 6), F.concat(F.substr(s, F.lit(1), point - 4), F.lit(","), F.substr(s, point - 3))).otherwise(several)
         return F.coalesce(F.when(odd, F.concat(F.lit(" "), s, F.lit("\t"))).otherwise(s), F.when(odd | (i == numbers.index("available_loc")), F.lit("#N/A N/A")).otherwise(F.lit("")))
 
     told = df.select(*[c for c in columns if c in IDENTITY], F.transform(F.array(*[F.col(c).cast("string") for c in numbers]), text).alias("_texts"))
@@ -273,7 +277,7 @@ def _send(df: DataFrame, columns: list[str], path: str) -> str:
 
 def _upload(spark: SparkSession, sf_dir: str) -> list[str]:
     """The universe as two uploads with different orders of columns, the second with one column more; their folders."""
-    df = read_companies(spark, sf_dir)
+    df = tables.staged(read_companies(spark, sf_dir), "companies")
     columns = list(HEADERS.values())
     halves = ((F.col("_row_id") % 3 > 0, columns), (F.col("_row_id") % 3 == 0, [*columns[::-1], "extra_note"]))
     return [_send(df.where(keep), order, new_path(spark, "upload")) for keep, order in halves]
@@ -321,7 +325,7 @@ _VENDOR = {v: k for k, v in HEADERS.items()}
 @register("ingest_missing_columns", " UNION ALL ".join(f"SELECT 'second' AS upload, '{_VENDOR[c]}' AS missing_column, count(*) AS n_rows FROM part WHERE p_partkey % 3 = 1" for c in _LACKING))
 def ingest_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns that each of three uploads lacks, and the rows that this sets apart."""
-    df, folder = read_companies(spark, sf_dir), new_path(spark, "uploads")
+    df, folder = tables.staged(read_companies(spark, sf_dir), "companies"), new_path(spark, "uploads")
     columns = list(HEADERS.values())
     orders = {"first": columns, "second": [c for c in columns if c not in _LACKING], "third": columns[::-1]}
     sent = [_send(df.where(F.col("_row_id") % 3 == i), order, f"{folder}/{name}") for i, (name, order) in enumerate(orders.items())]
@@ -333,7 +337,7 @@ def ingest_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("refresh_uploads", f"SELECT 'score' AS kind, '2001-08-01' AS as_of, ticker AS subject, overall_score AS value FROM ({o.scored()}) UNION ALL " + " UNION ALL ".join(f"SELECT 'missing_column', '2001-02-01', '{_VENDOR[c]}', NULL" for c in _LACKING))
 def refresh_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two waves of uploads, one bad, taken up as they come: the snapshot's scores after the second, and what was set apart."""
-    df, folder = read_companies(spark, sf_dir), new_path(spark, "refresh")
+    df, folder = tables.staged(read_companies(spark, sf_dir), "companies"), new_path(spark, "refresh")
     columns = list(HEADERS.values())
     third, bad = F.col("_row_id") % 3 == 0, [c for c in columns if c not in _LACKING]
     for wave in ([("2001-08-01-first", ~third, columns), ("2001-02-01-bad", F.lit(True), bad)], [("2001-08-01-second", third, columns[::-1])]):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quantsieve.plans import queries
 from quantsieve.sources import tables, uploads
 from quantsieve.sources.schema import HEADERS
 from quantsieve.sources.shared import drop_intermediates, hadoop
@@ -99,3 +100,18 @@ def test_intermediates_go(spark, tmp_path):
     assert fs.exists(path) and df.count() == 3
     drop_intermediates(spark)
     assert not fs.exists(path)
+
+
+def test_an_upload_reads_its_order_lines_once(spark, sf_dir, monkeypatch):
+    sent = []
+    monkeypatch.setattr(queries, "_send", lambda df, columns, path: sent.append(df) or path)
+    queries._upload(spark, sf_dir)
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in sent] == [1, 1]  # the written universe
+
+
+def test_commas_of_uploads(spark):
+    values = [0.5, -12.25, 999.0, 1000.0, -999.5, -1234.5, 123456.78, 999999.0, 1234567.5, -1234567.5, 9999999.0, 1.5e7, 1e-5, 1.25e100, None]
+    df = spark.createDataFrame([(2 * i, v) for i, v in enumerate(values)], "_row_id long, available_loc double")
+    got = [r[0] for r in queries._messy(df, ["available_loc"]).collect()]
+    want = df.select(F.coalesce(F.regexp_replace(F.col("available_loc").cast("string"), r"(?<!\.\d{0,30})(?<=\d)(?=(\d{3})+(?:\.|$))", ","), F.lit("#N/A N/A")))
+    assert got == [r[0] for r in want.collect()] and {"1,000.0", "-1,234,567.5"} < set(got)
