@@ -53,4 +53,4 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words of c: what stands between white space."""
-    return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(c, SPACE + "+"), F.lit(""))

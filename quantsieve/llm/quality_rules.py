@@ -66,6 +66,13 @@ def _folded_word(w: Column) -> Column:
     return F.trim(F.lower(w), F.lit(PUNCTUATION))
 
 
+def _folded_pattern(chosen: Column) -> Column:
+    """A regex that finds, in a lower-cased text with white space at both ends, the words that _folded_word makes one of chosen (group 1); chosen must be folded."""
+    marks = "[" + "".join("\\" + c if c.isascii() else c for c in PUNCTUATION) + "]*+"
+    quoted = F.transform(chosen, lambda w: F.regexp_replace(w, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"\\$0"))
+    return F.concat(F.lit(f"{SPACE}{marks}("), F.array_join(quoted, "|"), F.lit(f"){marks}(?={SPACE})"))
+
+
 def common_words(docs: DataFrame, common: int, min_words: int = 50, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per language: _qs_in, and _qs_list, the ``common`` folded words that most of its documents hold, commonest first, ties in the order of the words.
 
@@ -75,7 +82,9 @@ def common_words(docs: DataFrame, common: int, min_words: int = 50, *, text: str
     """
     ws = docs.select(F.col(lang).alias("_qs_in"), words(F.coalesce(F.col(text), F.lit(""))).alias("ws")).where(F.size("ws") >= min_words)
     written = ws.select("_qs_in", F.explode(F.array_distinct("ws")).alias("w")).groupBy("_qs_in", "w").agg(F.count(F.lit(1)).alias("n"))
-    counts = written.groupBy("_qs_in", _folded_word(F.col("w")).alias("w")).agg(F.sum("n").alias("n")).where("w <> ''")
+    counts = written.groupBy("_qs_in", _folded_word(F.col("w")).alias("w")).agg(F.sum("n").alias("n"))
+    # By n as well: a condition on w alone is moved below both counts, which folds every word of every document there.
+    counts = counts.where("if(w = '', 0, n) > 0")
 
     def best(df: DataFrame, *by: str | Column) -> DataFrame:
         return df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "w"))).where(F.col("r") <= common)
@@ -92,27 +101,30 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
     whole = F.coalesce(F.col(text), F.lit(""))
-    ws, n, at_least = F.col("_qs_words"), F.size("_qs_words"), F.lit(0)
-    matched = F.transform(ws, _folded_word) if fold else ws
+    ws, n = F.col("_qs_words"), F.size("_qs_words")
     df = docs.select(*kept, F.col(lang).alias("_qs_lang"), whole.alias("_qs_text"), words(whole).alias("_qs_words"))
-    if lists is None:
-        found, sought = F.filter(matched, lambda w: w.isin(ALL_COMMON)), _common_list(F.col("_qs_lang"))
+    none, sought, pattern = F.array().cast("array<string>"), _common_list(F.col("_qs_lang")), _folded_pattern(F.array(*map(F.lit, ALL_COMMON)))
+    if lists is not None:
+        patterns = lists.withColumn("_qs_pattern", F.when(F.size("_qs_list") > 0, _folded_pattern(F.col("_qs_list"))))
+        df = df.join(small(patterns), F.col("_qs_lang").eqNullSafe(F.col("_qs_in")), "left")
+        sought, pattern = F.coalesce("_qs_list", none), F.col("_qs_pattern")
+    if fold:
+        # One regex finds the common words in the whole text: to fold each word and look it up, in lambdas, is several times the work.
+        found = F.coalesce(F.regexp_extract_all(F.concat(F.lit(" "), F.lower("_qs_text"), F.lit(" ")), pattern, F.lit(1)), none)
     else:
-        df = df.join(small(lists), F.col("_qs_lang").eqNullSafe(F.col("_qs_in")), "left").withColumn("_qs_list", F.coalesce("_qs_list", F.array().cast("array<string>")))
-        # Places in the list stand for the words, so that each word is compared to the list once.
-        found, sought = F.filter(F.transform(matched, lambda w: F.array_position("_qs_list", w)), lambda p: p > 0), F.transform("_qs_list", lambda w, i: (i + 1).cast("long"))
-    starts = F.sequence(at_least, F.greatest(n - WINDOW, at_least))
+        found = F.filter(ws, lambda w: w.isin(ALL_COMMON) if lists is None else F.array_contains(sought, w))
+    hashes = F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, WINDOW)]))
     df = df.withColumns(
         {
             "_qs_all": F.array_join(ws, ""),
             "_qs_lines": F.filter(F.split("_qs_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
-            "_qs_hashes": F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<long>")),
+            "_qs_hashes": F.slice(hashes, F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))),
             "_qs_found": found,
         }
     )
     # Equal windows stand together once sorted; texts that repeat none skip the sort.
     repeats = F.size(F.array_distinct("_qs_hashes")) < F.size("_qs_hashes")
-    placed = F.array_sort(F.transform("_qs_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("_qs_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     df = df.withColumns({"_qs_no_lower": _without("_qs_all", r"\p{Ll}"), "_qs_placed": F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))})
 
     def equal(x: Column, i: Column) -> Column:
@@ -124,7 +136,8 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     df = df.withColumn("_qs_no_point", _without("_qs_no_digit", r".,;:!?'\"()\-"))
     df = df.withColumn("_qs_rest", _without("_qs_no_point", SYMBOLS))
     left = [F.length(c).cast("long") for c in ("_qs_all", "_qs_no_lower", "_qs_no_upper", "_qs_no_digit", "_qs_no_point", "_qs_rest")]
-    counts = F.transform(sought, lambda w: F.size(F.filter("_qs_found", lambda x: x == w)).cast("long"))
+    # A column of its own, as both the sum and the histogram take it.
+    df = df.withColumn("_qs_counts", F.transform(sought, lambda w: (F.size("_qs_found") - F.size(F.array_remove("_qs_found", w))).cast("long")))
     return df.select(
         *kept,
         "_qs_lang",
@@ -134,7 +147,7 @@ def quality_features(docs: DataFrame, *, text: str = "text", lang: str = "lang",
         (F.size("_qs_lines") - F.size(F.array_distinct("_qs_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(F.flatten(F.transform("_qs_again", lambda i: F.array(*[i + j for j in range(WINDOW)]))))).cast("long").alias("n_repeat_words"),
         F.array(*[a - b for a, b in zip(left, left[1:])], left[5]).alias("_qs_chars"),
-        F.concat(F.array((n - F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)).cast("long")), counts).alias("_qs_common"),
+        F.concat(F.array((n - F.aggregate("_qs_counts", F.lit(0).cast("long"), lambda s, x: s + x)).cast("long")), F.col("_qs_counts")).alias("_qs_common"),
     )
 
 

@@ -185,3 +185,27 @@ def test_production_rules_on_odd_rows(docs_of):
     assert got.columns[: len(docs.columns)] == docs.columns and got.count() == 8
     assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert quality_rules.quality_rules(docs_of([]), **quality_rules.PRODUCTION).count() == 0
+
+
+def test_words_are_folded_after_they_are_counted(docs_of):
+    """Neither pass folds every word of every text: the vocabulary folds what the first count leaves, the features fold whole texts."""
+    docs = docs_of([LONG])
+    plan = quality_rules.common_words(docs, 5)._jdf.queryExecution().optimizedPlan().toString()
+    counted = plan[plan.rindex("Aggregate") :]
+    assert "explode" in counted and "trim" not in counted.lower()[counted.index("\n") :]
+    for lists in (None, quality_rules.common_words(docs, 5)):
+        features = quality_rules.quality_features(docs, fold=True, keep=["doc_id"], lists=lists)
+        top = features._jdf.queryExecution().optimizedPlan().toString().lower().partition("- join ")[0]
+        assert "lower(" in top and "lower(lambda" not in top and "lower(namedlambda" not in top
+
+
+def test_found_words_are_those_folded_one_by_one(spark, docs_of):
+    """Signs of patterns inside words, marks at their ends, words that begin others, other scripts, marks alone and long runs of them."""
+    listed = ["a", "a-b", "a.b", "a|b", "x\\e", "don't", "οδος", "i̇", "été", "𝒳y", "c[d", "中"]
+    texts = ["A a-b, (a.b) aab a|b X\\E \"Don't\" -- don't don''t ΟΔΟΣ, οδοσ İ; «Été» …été… 𝒳y! c[d] (c[d( 中 中文 a\x0ba\x0ca", "-" * 50_000 + "a " + "a" + "-" * 50_000, "a -- a-- --a a--b", "x a a", *ODD, "a " * 3000]
+    lists = spark.createDataFrame([("en", listed)], "_qs_in string, _qs_list array<string>")
+    docs = docs_of(texts)
+    folded = F.transform(quality_rules.words(F.coalesce("text", F.lit(""))), quality_rules._folded_word)
+    want = {r["doc_id"]: [len(r["w"]) - sum(r["w"].count(x) for x in listed), *map(r["w"].count, listed)] for r in docs.select("doc_id", folded.alias("w")).collect()}
+    got = {r["doc_id"]: r["_qs_common"] for r in quality_rules.quality_features(docs, fold=True, keep=["doc_id"], lists=lists).collect()}
+    assert got == want and all(n > 0 for n in want[0][1:])
